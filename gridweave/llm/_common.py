@@ -51,7 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of a frame's size, without running anything."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(n, 1 << 62)
 
 
@@ -207,8 +207,8 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray,
         dest = np.repeat(out_bounds[:-1][long] - np.concatenate([[0], np.cumsum(have[long])])[:-1], have[long]) + np.arange(len(at))
         out[dest] = roll[at]
     for i in np.flatnonzero((n > 0) & (n < k)):
-        x = U(n[i])
-        for w in h[bounds[i] : bounds[i + 1]]:
-            x = mix64(np.array([x * U(0x9E3779B97F4A7C15) + w], U))[0]
-        out[out_bounds[i]] = x
+        x = np.array([n[i]], U)
+        for j in range(bounds[i], bounds[i + 1]):
+            x = mix64(x * U(0x9E3779B97F4A7C15) + h[j : j + 1])
+        out[out_bounds[i]] = x[0]
     return out, out_bounds
