@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import bpe, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"], ids=False, digests=True)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_bpe": op2_bpe,
         "op7_substring_dedup": op7_substring_dedup,
     }
 
