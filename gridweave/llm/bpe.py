@@ -37,7 +37,7 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Words that a worker keeps; it starts anew when there are more.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: Leaves of all trees that are worked on at once.
 TREE_CELLS = 1 << 20
 #: Leaves from which a pre-token is merged alone.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, substring_dedup
+from . import bpe, decontaminate, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"], ids=False, digests=True)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contained_items(docs, _table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
 
@@ -28,6 +33,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_bpe": op2_bpe,
+        "op4_decontaminate": op4_decontaminate,
         "op7_substring_dedup": op7_substring_dedup,
     }
 
@@ -47,5 +53,17 @@ FROM w LEFT JOIN r USING (doc_id)
 """
 
 
+_OP4 = r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words FROM t),
+s AS (SELECT kind, id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0),
+g AS (SELECT DISTINCT kind, id, array_to_string(words[i:i+4], ' ') AS sh FROM s),
+n AS (SELECT id, count(*) AS n FROM g WHERE kind = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) / any_value(n.n) AS containment
+FROM g b JOIN g d ON b.kind = 'b' AND d.kind = 'd' AND b.sh = d.sh JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING count(*) / any_value(n.n) >= 0.8
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": _OP7}
+    return {"op4_decontaminate": _OP4, "op7_substring_dedup": _OP7}
