@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, substring_dedup
+from . import bpe, decontaminate, near_dedup, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,11 +30,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, threshold=0.8)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_bpe": op2_bpe,
         "op4_decontaminate": op4_decontaminate,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_near_dedup": op8_near_dedup,
     }
 
 
