@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dedup, substring_dedup
+from . import bpe, decontaminate, language_id, near_dedup, substring_dedup
+from ._common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(docs, _table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    out = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", (crc_mod("doc_id") == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
 
@@ -38,6 +46,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_bpe": op2_bpe,
         "op4_decontaminate": op4_decontaminate,
+        "op6_language_id": op6_language_id,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_near_dedup": op8_near_dedup,
     }
