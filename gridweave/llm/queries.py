@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, near_dedup, substring_dedup
+from . import bpe, decontaminate, language_id, near_dedup, substring_dedup, token_store
 from ._common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_store.store_report(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"], ids=False, digests=True)
@@ -44,6 +49,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_store": op1_token_store,
         "op2_bpe": op2_bpe,
         "op4_decontaminate": op4_decontaminate,
         "op6_language_id": op6_language_id,
