@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, near_dedup, substring_dedup, token_store
+from . import bpe, decontaminate, language_id, near_dedup, substring_dedup, token_store, warc
 from ._common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, threshold=0.8)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_store": op1_token_store,
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op6_language_id": op6_language_id,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_near_dedup": op8_near_dedup,
+        "op9_warc": op9_warc,
     }
 
 
@@ -85,5 +90,19 @@ GROUP BY d.id, b.id HAVING count(*) / any_value(n.n) >= 0.8
 """
 
 
+_OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT page_id, payload, octet_length(encode(payload)) AS n, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS least FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((
+           (strpos('0123456789abcdef', substr(hex, CAST((5 * i) // 4 + 1 AS BIGINT), 1)) - 1) * 16
+           + greatest(strpos('0123456789abcdef', substr(hex, CAST((5 * i) // 4 + 2 AS BIGINT), 1)) - 1, 0))
+           // CAST(pow(2, 3 - (5 * i) % 4) AS BIGINT)) % 32 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+FROM h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": _OP4, "op7_substring_dedup": _OP7}
+    return {"op4_decontaminate": _OP4, "op7_substring_dedup": _OP7, "op9_warc": _OP9}
