@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, near_dedup, substring_dedup, token_store, warc
+from . import bpe, decontaminate, fingerprints, language_id, near_dedup, substring_dedup, token_store, url_filters, warc
 from ._common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_store.store_report(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
@@ -32,6 +36,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(docs, _table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
 
 
+#: The rules of the URL filter query.
+RULES = [
+    url_filters.Rule("allow", "org", "/"), url_filters.Rule("block", "example.org", "/es/"), url_filters.Rule("block", "example.org", "/en/1"),
+    url_filters.Rule("allow", "com", "/fr/"), url_filters.Rule("block", "com", "/de/"),
+]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_pages(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit(docs)
@@ -53,9 +68,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op10_fingerprints": op10_fingerprints,
         "op1_token_store": op1_token_store,
         "op2_bpe": op2_bpe,
         "op4_decontaminate": op4_decontaminate,
+        "op5_url_filters": op5_url_filters,
         "op6_language_id": op6_language_id,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_near_dedup": op8_near_dedup,
