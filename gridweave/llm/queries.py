@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, language_id, near_dedup, substring_dedup, token_store, url_filters, warc
+from . import bpe, decontaminate, fingerprints, language_id, near_dedup, quality, substring_dedup, token_store, url_filters, warc
 from ._common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"], ids=False, digests=True)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    out = quality.predict(docs, model, keep=["doc_id"])
+    return out.select("doc_id", (crc_mod("doc_id") == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contained_items(docs, _table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
@@ -71,12 +79,14 @@ def queries() -> dict[str, Query]:
         "op10_fingerprints": op10_fingerprints,
         "op1_token_store": op1_token_store,
         "op2_bpe": op2_bpe,
+        "op3_quality": op3_quality,
         "op4_decontaminate": op4_decontaminate,
         "op5_url_filters": op5_url_filters,
         "op6_language_id": op6_language_id,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -122,4 +132,5 @@ FROM h
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": _OP4, "op7_substring_dedup": _OP7, "op9_warc": _OP9}
+    known = {"op4_decontaminate": _OP4, "op7_substring_dedup": _OP7, "op9_warc": _OP9, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in known.items() if sql}
