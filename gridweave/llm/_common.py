@@ -50,9 +50,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of a frame's size, without running anything."""
+    """The optimiser's estimate of a frame's size, without running anything; 0 where it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(n, 1 << 62)
+    return n if n < 1 << 60 else 0
 
 
 def crc_mod(col: str | Column, mod: int = 3) -> Column:

@@ -209,7 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     share = min(1.0, rows / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64(F.lit(3), F.col("_id")), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
     # about ``rows`` pairs of numbers
-    some = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select(F.col(text_col).alias("_text"), "y", F.xxhash64(text_col).alias("o"))
+    src = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("_text"))
+    some = src.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_text", "y", F.xxhash64("_text").alias("o"))
     got = some.mapInArrow(_featured(["y", "o"]), "y int, o long, x array<double>").orderBy("o").collect()
     x = np.array([r["x"] for r in got]).reshape(-1, len(FEATURES))
     return train(x, np.array([r["y"] for r in got], float))

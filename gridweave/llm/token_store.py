@@ -252,7 +252,7 @@ def _decode_lanes(codes: list[bytes], lens: np.ndarray, crcs: np.ndarray) -> np.
         lo[lit] += u * ((c << 8) + small * f).view(_U)
         r[lit] = u * f.view(_U)
         at = _settle(lo, r)
-        value[at] = (v[at] << _U(32)) | code[used[at]]
+        value[at] = (v[at] << _U(32)) | code.take(used[at], mode="clip")
         used[at] += 1
         lo[at] <<= _U(32)
         r[at] <<= _U(32)
