@@ -351,8 +351,8 @@ add("onlyzero_overwrite_maximum", A.onlyzero_overwrite_maximum, "H", near("H", _
 
 # -- histograms and thresholds --------------------------------------------------------------
 
-_HB = """, m AS (SELECT min(v) AS lo, max(v) AS hi FROM H), b AS (SELECT CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS INT) AS bin, lo, hi FROM H, m),
-c AS (SELECT CAST(i AS INT) AS bin, lo + i * (hi - lo) / 255.0 AS c, lo, hi, coalesce(n, 0) AS n FROM range(256) r(i) CROSS JOIN m LEFT JOIN (SELECT bin, count(*) AS n FROM b GROUP BY bin) t ON t.bin = i)"""
+_HB = """, hm AS (SELECT min(v) AS lo, max(v) AS hi FROM H), hb AS (SELECT CAST(floor((v - lo) / (hi - lo) * 255 + 0.5) AS INT) AS bin, lo, hi FROM H, hm),
+c AS (SELECT CAST(i AS INT) AS bin, lo + i * (hi - lo) / 255.0 AS c, lo, hi, coalesce(n, 0) AS n FROM range(256) r(i) CROSS JOIN hm LEFT JOIN (SELECT bin, count(*) AS n FROM hb GROUP BY bin) t ON t.bin = i)"""
 
 
 def with_bins(sql: str) -> str:
