@@ -555,7 +555,15 @@ def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
+#: Queries whose result has no column v.
+NO_V = {
+    "maximum_position", "minimum_position", "bounding_box", "label_bounding_box", "center_of_mass", "spots_to_pointlist", "labelled_spots_to_pointlist",
+    "centroids_of_labels", "labels_statistics", "histogram", "otsu_rows",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    """Values are doubles on both sides, also where SQL would make a decimal."""
+    return {name: sql if name in NO_V else f"SELECT * REPLACE (CAST(v AS DOUBLE) AS v) FROM (\n{sql}\n)" for name, sql in SQL.items()}
 
 

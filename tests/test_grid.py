@@ -177,3 +177,14 @@ def test_oracle(spark, name):
     want = con.sql(catalog.oracle_sql()[name]).df()[list(got.columns)]
     key = list(got.columns)
     assert np.allclose(got.sort_values(key).to_numpy(float), want.sort_values(key).to_numpy(float), atol=1e-5)
+
+
+def test_stream_of_images(spark, tmp_path):
+    from gridweave.streaming import each_image
+
+    rows = [(i, 0, y, x, float(i + x)) for i in (1, 2) for y in range(2) for x in range(3)]
+    spark.createDataFrame(rows, "img int, z int, y int, x int, v double").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("img int, z int, y int, x int, v double").parquet(f"{tmp_path}/in")
+    query = each_image(stream, (3, 2, 1), lambda g: A.multiply_image_and_scalar(g, 2), f"{tmp_path}/out", f"{tmp_path}/ck")
+    query.awaitTermination()
+    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out").count() == 12
