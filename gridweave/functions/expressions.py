@@ -30,7 +30,7 @@ def _tokens(text: str) -> list[str]:
             raise ValueError(f"cannot read expression at {text[at:]!r}")
         out.append(m[1] or m[2] or m[3])
         at = m.end()
-    return [*out, ""]
+    return [*out, "", ""]
 
 
 class _Parser:
