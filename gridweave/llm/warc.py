@@ -40,6 +40,8 @@ from .token_store import filesystem
 LINES = 256
 #: Bytes of input for each archive, about.
 ARCHIVE_BYTES = 16 << 20
+#: Ways into which the pages of one payload are dealt.
+SALTS = 16
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -161,8 +163,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     src = src.withColumn("_sha", F.sha1(payload)).withColumn("_n", F.octet_length(payload))
     least = src.filter(F.col("_n") >= min_bytes).groupBy("_sha", "_n").agg(F.min("page_id").alias("least"))
-    # only ids and digests meet here; the pages themselves are shuffled once, by range
-    joined = src.join(least.hint("shuffle_hash"), ["_sha", "_n"], "left").drop("_sha", "_n")
+    # a payload may be that of a third of all pages, so pages are salted and the narrow side is repeated
+    src = src.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = src.join(least.hint("shuffle_hash"), ["_sha", "_n", "_salt"], "left").drop("_sha", "_n", "_salt")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * input_bytes(pages) // ARCHIVE_BYTES)
     order = [F.col("key"), F.col("page_id").asc_nulls_last()]
     return cut(joined.repartitionByRange(int(n), *order).sortWithinPartitions(*order).mapInArrow(_write(folder), "name string, first_key string, last_key string, records long"))
