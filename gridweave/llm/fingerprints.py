@@ -109,10 +109,10 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     follow = next_keys(rows.groupBy("k").agg(F.min("of").alias("of")))
     rows = cut(rows.join(follow, "k").withColumn("third", F.floor(F.col("n") / 3).cast("int")))
 
-    own = src.repartition(parts, "k")  # the only shuffle of the texts
+    own = src.repartition(parts, "k", "of")  # the only shuffle of the texts: all that follows is by these keys
     asked = rows.select(F.col("k").alias("for_k"), F.col("of").alias("for_of"), F.col("next_k").alias("k"), F.col("next_of").alias("of"), "third")
     heads = own.join(asked.hint("shuffle_hash"), ["k", "of"]).select("for_k", "for_of", F.expr("substring(text, 1, third)").alias("head"))
-    heads = heads.repartition(parts, "for_k").dropDuplicates(["for_k", "for_of"]).select(F.col("for_k").alias("k"), F.col("for_of").alias("of"), "head")
+    heads = heads.repartition(parts, "for_k", "for_of").dropDuplicates(["for_k", "for_of"]).select(F.col("for_k").alias("k"), F.col("for_of").alias("of"), "head")
     cut_off = F.expr("substring(text, 1, length(text) - int(floor(length(text) / 3)))")
     both = own.join(heads.hint("shuffle_hash"), ["k", "of"]).join(rows.select("k", "of", "times").hint("shuffle_hash"), ["k", "of"])
     both = both.select("k", "of", "times", "text", F.concat(cut_off, "head").alias("edited"))
@@ -121,7 +121,7 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = [f"s{i}" for i in range(samples)]
     by_kind = signatures(texts, ["k", "of", "kind"], "t", "times", samples)
     pair = by_kind.groupBy("k", "of").agg(*[F.max(F.when(F.col("kind") == kind, F.col(s))).alias(f"{s}_{kind}") for kind in (0, 1) for s in names])
-    digests = both.groupBy("k", "of").agg(F.max(F.sha2("edited", 256)).alias("edited_sha256"))
+    digests = both.select("k", "of", F.sha2("edited", 256).alias("d")).groupBy("k", "of").agg(F.max("d").alias("edited_sha256"))
     signed = digests.join(pair, ["k", "of"], "left").select("k", "of", "edited_sha256", *[F.coalesce(c, F.lit(0)).alias(c) for c in pair.columns[2:]])
     signed = cut(signed)
     after = signed.select(F.col("k").alias("next_k"), F.col("of").alias("next_of"), *[F.col(f"{s}_0").alias(f"{s}_n") for s in names])
