@@ -11,11 +11,13 @@ coordinate is its value.  Where a coordinate stays empty the rank bound is
 doubled.  Two values are equal with the weighted Jaccard similarity.
 
 Equal texts are one node from the start.  Nodes with an equal band meet in a
-bucket.  No bucket makes all pairs: each member is compared with the smallest
-node of the bucket (exactly, by the shingles of both texts), and the members
-that are not similar to it go on to finer buckets, of that band and one more,
-until none is left.  Similar nodes are joined to classes by spreading the
-smallest label and jumping pointers.
+bucket.  No bucket makes all pairs: in each turn one member leads it, and the
+members of other classes are compared with the leader, exactly, by the shingles
+of both texts.  In the first turn the member leads that shares most with most
+others, so that a group round one original is found at once; later turns let a
+member of the smallest class lead each bucket that still holds several classes,
+until a turn adds next to no link.  Similar nodes are joined to classes by
+spreading the smallest label and jumping pointers.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters.
 Defined results: texts of fewer than ``k`` words have one shingle, of all their
@@ -38,6 +40,8 @@ from ._common import NON_WORD, U, arrow_session, chunks, cut, mix64, seeds, shin
 BANDS = 32
 ROWS = 6
 HASHES = BANDS * ROWS
+#: The turns end with one that adds at most this share to the links.
+SETTLED = 0.001
 _GOLD = U(0x9E3779B97F4A7C15)
 _STEP = seeds(1, 5)
 _EMPTY = np.iinfo(np.uint64).max
@@ -147,7 +151,7 @@ def text_node(text_col: str | Column) -> Column:
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of the edges; the label is a node of the class."""
+    """(node, label) for the nodes of the edges; the label is the smallest node of the class."""
     both = cut(edges.select("node", "leader").unionByName(edges.select(F.col("leader").alias("node"), F.col("node").alias("leader"))))
     label = cut(both.groupBy("node").agg(F.least(F.min("leader"), F.first("node")).alias("label")))
     while True:
@@ -161,39 +165,57 @@ def _components(edges: DataFrame) -> DataFrame:
         label = step.select("node", F.col("new").alias("label"))
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The pairs (node, leader) whose texts are similar.  A pair moves the text of its node, not its leader's."""
+    a, b = texts.select("node", F.col("_text").alias("a")), texts.select(F.col("node").alias("leader"), F.col("_text").alias("b"))
+    both = pairs.join(a, "node").join(b, "leader").select("node", "leader", "a", "b")
+    return cut(both.mapInArrow(_similar(k, threshold), "node binary, leader binary"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: its id, and the smallest id of its class."""
     arrow_session(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"), F.col(text_col).alias("_text"))
     signed = cut(src.mapInArrow(_signed(k), f"id {kind}, node binary, n long, bands array<long>"))
-    nodes = cut(signed.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-
-    member = nodes.select("node", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), F.array("band").alias("used"), "node", "n")
-    texts, edges = None, None
+    nodes = signed.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    member = nodes.select("node", "rep", "n", F.explode("bands").alias("key"))
+    sizes = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = cut(member.join(sizes, "key"))
+
+    # one text for each node that shares a bucket
+    asked = met.select("node", "rep").distinct()
+    texts = src.join(asked.hint("shuffle_hash"), (src["node"] == asked["node"]) & src["id"].eqNullSafe(asked["rep"])).select(src["node"], "_text")
+    texts = cut(texts)
+    if not signed.groupBy("id").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])
+    # the node that shares most buckets with most nodes leads: an original rather than one of its copies
+    central = met.groupBy("node").agg(F.sum("size").alias("order"))
+    ranked = met.select("key", "node", "n").join(central, "node").withColumn("label", F.col("node"))
+    edges, label, turn, links = None, None, 0, 0
     while True:
-        leaders = member.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).filter("size > 1")
-        member = member.join(leaders.select("key", F.col("first.node").alias("leader"), F.col("first.n").alias("m")), "key").filter("node != leader")
-        member = cut(member)
-        pairs = member.filter(F.least("n", "m") >= F.greatest("n", "m") * threshold).select("node", "leader").distinct()
-        if texts is None:  # of the nodes that share a bucket with another
-            asked = member.select("node").union(member.select("leader")).distinct().join(nodes.select("node", "rep"), "node").hint("shuffle_hash")
-            texts = src.join(asked, (src["node"] == asked["node"]) & src["id"].eqNullSafe(asked["rep"])).select(src["node"], "_text")
-            texts = cut(texts.withColumn("_n", F.lit(1)))
-        a, b = texts.select("node", F.col("_text").alias("a")), texts.select(F.col("node").alias("leader"), F.col("_text").alias("b"))
-        found = cut(pairs.join(a, "node").join(b, "leader").select("node", "leader", "a", "b").mapInArrow(_similar(k, threshold), "node binary, leader binary")).distinct()
+        first = ranked.groupBy("key").agg(F.max(F.struct("order", "node", "n", "label")).alias("first"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
+        first = first.select("key", F.col("first.node").alias("leader"), F.col("first.n").alias("m"), F.col("first.label").alias("own"))
+        across = (F.col("label") != F.col("own")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold)
+        pairs = ranked.join(first, "key").filter(across).select("node", "leader").distinct()
+        found = _verified(pairs, texts, k, threshold)
+        new = found.count()
+        links += new
         edges = found if edges is None else edges.unionByName(found)
-        rest = member.join(found.withColumn("hit", F.lit(1)), ["node", "leader"], "left").filter("hit is null").select("key", "used", "node", "n")
-        rest = rest.join(nodes.select("node", F.posexplode("bands").alias("band", "h")), "node")
-        rest = rest.filter(F.col("band") > F.element_at("used", -1)).select(F.xxhash64("key", "band", "h").alias("key"), F.array_append("used", F.col("band")).alias("used"), "node", "n")
-        rest = cut(rest)
-        if rest.isEmpty():
+        if new or label is None:
+            label = _components(edges)
+        if turn and new <= SETTLED * links:
             break
-        member = rest
-    label = _components(edges)
-    classes = label.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_rep"))
-    named = nodes.select("node", "rep").join(label.join(classes, "label").select("node", "class_rep"), "node", "left")
-    named = named.select("node", F.coalesce("class_rep", "rep").alias("class_id"))
+        turn += 1
+        # now members of the smallest classes lead: each is compared with all members of other classes in its bucket
+        sized = label.join(label.groupBy("label").agg(F.count("*").alias("size")), "label")
+        drawn = F.xxhash64("key", "node", F.lit(turn)).bitwiseAND(F.lit((1 << 24) - 1))
+        ranked = met.select("key", "node", "n").join(sized, "node", "left")
+        ranked = ranked.select("key", "node", "n", F.coalesce("label", "node").alias("label"), (drawn - F.shiftleft(F.coalesce("size", F.lit(1)), 24)).alias("order"))
+    reps = signed.groupBy("node").agg(F.min("id").alias("rep"))
+    named = reps.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = named.groupBy("label").agg(F.min("rep").alias("class_id"))
+    named = named.join(classes, "label").select("node", "class_id")
     return signed.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "class_id")
 
 
@@ -202,11 +224,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of rows with the same id (null included) that stay, one is kept for each text.
     """
-    classes = near_duplicate_classes(docs.select(id_col, text_col), id_col, text_col, k, threshold)
-    keep = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    node = "_node"
-    kept = docs.join(keep.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = kept.groupBy(F.col(id_col).alias("_id")).count().filter("count > 1").select("_id")
-    if repeated.isEmpty():
-        return kept
-    return kept.withColumn(node, text_node(text_col)).dropDuplicates([id_col, node]).drop(node)
+    names = docs.columns
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    own, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
+    classes = near_duplicate_classes(rows.select(own, text), own, text, k, threshold)
+    keep = classes.filter(F.col(own).eqNullSafe(F.col("class_id"))).select(F.col(own).alias("_keep")).distinct()
+    kept = rows.join(keep.hint("shuffle_hash"), rows[own].eqNullSafe(F.col("_keep")), "left_semi")
+    if not kept.groupBy(own).count().filter("count > 1").isEmpty():
+        kept = kept.withColumn("_node", text_node(text)).dropDuplicates([own, "_node"]).drop("_node")
+    return kept.toDF(*names)
