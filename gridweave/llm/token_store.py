@@ -29,6 +29,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,10 +39,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_session, cut, input_bytes, shared_dir
+from .bpe import byte_characters
 
 MAGIC = b"GWTOK1\0\0"
 #: Ids of a block.
@@ -51,16 +54,17 @@ LANES = 4096
 #: Ids between two refreshes of the order-0 counts.
 REFRESH = 128
 #: Slots of each context table.
-SLOTS = 1024
+SLOTS = 256
 #: Bytes of input for each shard, about.
 SHARD_BYTES = 16 << 20
 #: Words that a worker keeps the ids of.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 
 _U = np.uint64
 _TOP = _U(1 << 32)
 _TRAILER = struct.Struct("<QQQQI")
 _BITS = 12  # of the bit models
+_BLANK = re.compile(r"\s")
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "<i4"), ("n", "<i4")])
 _ENTRY = np.dtype([("at", "<u8"), ("bytes", "<u4"), ("ids", "<u4"), ("crc", "<u4")])
 _CONF = 8  # confidences of a prediction
@@ -74,8 +78,9 @@ _HASH3 = (_IDS * 0xC2B2AE35 >> 11) % SLOTS
 class _Lanes:
     """Models of the blocks that are coded together; tables are flat, a lane after the other."""
 
-    def __init__(self, lanes: int) -> None:
+    def __init__(self, lanes: int, decodes: bool = False) -> None:
         rows = np.arange(lanes, dtype=np.int64)
+        self.decodes, self.at_high = decodes, rows * 4096
         self.at_slot, self.at_p2, self.at_p1 = rows * SLOTS, rows * (_CONF * _CONF), rows * (2 * _CONF)
         self.at_freq, self.at_cum = rows * 256, rows * 257
         # a context's entry: confidence << 16 | the id that it predicts
@@ -95,6 +100,8 @@ class _Lanes:
         cum = np.zeros((len(freq), 257), np.int64)
         np.cumsum(freq, 1, out=cum[:, 1:])
         self.freq, self.cum = freq.ravel(), cum.ravel()
+        # the high byte at each of the 4096 places, for decoding
+        self.high = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(freq)), self.freq) if self.decodes else None
 
     def predict(self, a: np.ndarray, b: np.ndarray) -> None:
         """Looks up the contexts: ``a`` the last id, ``b`` the one before."""
@@ -221,7 +228,7 @@ def _decode_lanes(codes: list[bytes], lens: np.ndarray, crcs: np.ndarray) -> np.
     value = (code[used] << _U(32)) | code[used + 1]
     used += 2
     grid = np.zeros((steps, lanes), np.int64)
-    m = _Lanes(lanes)
+    m = _Lanes(lanes, True)
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     a = b = np.zeros(lanes, np.int64)
     for t in range(steps):
@@ -239,13 +246,8 @@ def _decode_lanes(codes: list[bytes], lens: np.ndarray, crcs: np.ndarray) -> np.
         lit = np.flatnonzero(~(hit2 | hit1))
         u = r[lit] >> _U(20)
         s = np.minimum((v[lit] - lo[lit]) // u, _U((1 << 20) - 1)).view(np.int64)
-        want, base = s >> 8, m.at_cum[lit]
-        hi = base.copy()
-        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-            hi += bit * (m.cum.take(hi + bit) <= want)
-        c = m.cum.take(hi)
-        hi -= base
-        f = m.freq.take(m.at_freq[lit] + hi)
+        hi = m.high.take(m.at_high[lit] + (s >> 8)).astype(np.int64)
+        c, f = m.cum.take(m.at_cum[lit] + hi), m.freq.take(m.at_freq[lit] + hi)
         s -= c << 8
         small = s // f
         x[lit] = hi << 8 | small
@@ -313,8 +315,11 @@ class _Library:
     """The tokenizers library behind a cache of white-space separated pieces.
 
     White space separates pre-tokens of this kind of vocabulary and is dropped,
-    so a text's ids are those of its pieces.  Where the vocabulary isn't of
-    that kind each text is encoded as a whole.
+    so a text's ids are those of its pieces.  New pieces are normalised by the
+    library, all at once, split by the vocabulary's own pattern, and each
+    pre-token goes to the library's model.  Pieces with a special token or odd
+    white space, and vocabularies of another kind, are encoded by the library
+    as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -326,24 +331,49 @@ class _Library:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
-        pre = json.dumps(spec["pre_tokenizer"])
-        self.by_piece = '"Split"' in pre and "Removed" in pre and spec["model"].get("end_of_word_suffix") and not any(b" " in s for s in self.special)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        kinds = [s["type"] for s in steps]
+        dropped = kinds == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        self.by_piece = bool(dropped and spec["normalizer"] and spec["model"].get("end_of_word_suffix") and not any(" " in s for s in self.special))
+        self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.by_piece else None
+        self.characters = dict(enumerate(byte_characters()))
         self.known: dict[bytes, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _token(self, token: str) -> bytes:
+        ids = self.tokens.get(token)
+        if ids is None:
+            found = self.tokenizer.model.tokenize(token.encode().decode("latin-1").translate(self.characters))
+            ids = self.tokens[token] = np.array([t.id for t in found], np.uint16).tobytes()
+        return ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        texts = [w.decode() for w in new]
+        odd = [_BLANK.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        plain = [t for t, o in zip(texts, odd, strict=True) if not o]
+        parts = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ") if plain else []
+        if len(parts) != len(plain):
+            odd = [True] * len(texts)
+        whole = iter(self._whole([t for t, o in zip(texts, odd, strict=True) if o]))
+        part, token, split = iter(parts), self._token, self.pattern.findall
+        for w, o in zip(new, odd, strict=True):
+            self.known[w] = next(whole) if o else b"".join(map(token, split(next(part))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
-            return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.known) > CACHE_WORDS:
+            return [np.frombuffer(x, np.uint16) for x in self._whole(texts)]
+        if len(self.known) + len(self.tokens) > CACHE_WORDS:
             self.known.clear()
+            self.tokens.clear()
         known = self.known
         split = [t.encode().split() for t in texts]
         new = list({w for s in split for w in s if w not in known})
         if new:
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                known.update(zip(part, [np.array(e.ids, np.uint16).tobytes() for e in got], strict=True))
+            self._learn(new)
         return [np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint16) for s in split]
 
 
