@@ -128,8 +128,13 @@ def _write(folder: str):
         fs, root = filesystem(folder)
         name = f"pages-{uuid.uuid4().hex}"  # of this attempt only
         index, sink, at, n, first, last = IndexWriter(), None, 0, 0, None, None
+        known: tuple = (None, None, None, None)
         for batch in batches:
-            for page_id, url, html, key, least in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "key", "least")), strict=True):
+            for page_id, url, html, key, sha, kind, least in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "key", "sha", "kind", "least")), strict=True):
+                if kind == 0:
+                    known = (key, page_id, sha, least)
+                    continue
+                least = known[3] if known[:3] == (key, page_id, sha) else None
                 if sink is None:
                     fs.create_dir(root, recursive=True)
                     sink = fs.open_output_stream(f"{root}/{name}.warc.gz", compression=None)
@@ -159,17 +164,19 @@ def _write(folder: str):
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes all pages; returns the manifest: name, first_key, last_key, records."""
     spark = arrow_session(pages.sparkSession)
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", url_key("url").alias("key"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    src = src.withColumn("_sha", F.sha1(payload)).withColumn("_n", F.octet_length(payload))
-    least = src.filter(F.col("_n") >= min_bytes).groupBy("_sha", "_n").agg(F.min("page_id").alias("least"))
-    # a payload may be that of a third of all pages, so pages are salted and the narrow side is repeated
-    src = src.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = src.join(least.hint("shuffle_hash"), ["_sha", "_n", "_salt"], "left").drop("_sha", "_n", "_salt")
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", url_key("url").alias("key"), F.sha1(payload).alias("sha"))
+    # only ids, keys and digests are joined; a payload may be that of a third of all pages, so they are salted
+    thin = pages.select(F.col("page_id").cast("long").alias("page_id"), url_key("url").alias("key"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n"))
+    least = thin.filter(F.col("n") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("least"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    thin = thin.withColumn("salt", F.pmod(F.xxhash64("page_id", "key"), F.lit(SALTS)).cast("int")).join(least.hint("shuffle_hash"), ["sha", "salt"])
+    # what a page refers to travels ahead of it, so the pages themselves are shuffled once
+    ahead = thin.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "key", "sha", F.lit(0).alias("kind"), "least").distinct()
+    joined = ahead.unionByName(src.select("*", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("least")))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * input_bytes(pages) // ARCHIVE_BYTES)
-    order = [F.col("key"), F.col("page_id").asc_nulls_last()]
-    return cut(joined.repartitionByRange(int(n), *order).sortWithinPartitions(*order).mapInArrow(_write(folder), "name string, first_key string, last_key string, records long"))
+    order = [F.col("key"), F.col("page_id").asc_nulls_last(), F.col("sha")]
+    return cut(joined.repartitionByRange(int(n), *order).sortWithinPartitions(*order, "kind").mapInArrow(_write(folder), "name string, first_key string, last_key string, records long"))
 
 
 class Archive:
