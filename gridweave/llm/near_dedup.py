@@ -11,13 +11,15 @@ coordinate is its value.  Where a coordinate stays empty the rank bound is
 doubled.  Two values are equal with the weighted Jaccard similarity.
 
 Equal texts are one node from the start.  Nodes with an equal band meet in a
-bucket.  No bucket makes all pairs: in each turn one member leads it, and the
-members of other classes are compared with the leader, exactly, by the shingles
-of both texts.  In the first turn the member leads that shares most with most
-others, so that a group round one original is found at once; later turns let a
-member of the smallest class lead each bucket that still holds several classes,
-until a turn adds next to no link.  Similar nodes are joined to classes by
-spreading the smallest label and jumping pointers.
+bucket.  First one member leads each bucket, that which shares most with most
+others, so that a group round one original is found at once: the members are
+compared with it, exactly, by the shingles of both texts.  Where a bucket then
+still holds several classes, all its members of different classes are compared:
+each node lives in one block of bounded size, with others of its largest
+bucket, and members that are not of a bucket's largest class visit the blocks
+of the others.  Inside a block only pairs can be similar that share one of
+their rarest shingles, so no pair is left out.  Similar nodes are joined to
+classes by spreading the smallest label and jumping pointers.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters.
 Defined results: texts of fewer than ``k`` words have one shingle, of all their
@@ -40,8 +42,10 @@ from ._common import NON_WORD, U, arrow_session, chunks, cut, mix64, seeds, shin
 BANDS = 32
 ROWS = 6
 HASHES = BANDS * ROWS
-#: The turns end with one that adds at most this share to the links.
-SETTLED = 0.001
+#: Shingles of the texts that live in a block, and of those that visit it at once.
+BLOCK = 1 << 17
+#: Shingles that are compared at once inside a block.
+AT_ONCE = 1 << 21
 _GOLD = U(0x9E3779B97F4A7C15)
 _STEP = seeds(1, 5)
 _EMPTY = np.iinfo(np.uint64).max
@@ -172,6 +176,115 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return cut(both.mapInArrow(_similar(k, threshold), "node binary, leader binary"))
 
 
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each class once ``a`` and ``b`` are joined."""
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root != root[root]).any():
+            root = root[root]
+    return root
+
+
+def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs whose sizes sum up to about ``limit``, a larger one alone."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right")))
+        yield i, j
+        i = j
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places start, start + 1, ... of each run of ``n``, and its number."""
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + start[of], of
+
+
+def _similar_classes(k: int, threshold: float):
+    """Of the texts of a block: (node, leader), the labels of classes to be joined.
+
+    Residents are compared with visitors, and with each other in the block's
+    first chunk.  An element is a shingle and how often it came before; texts
+    are similar only if they share one of their ``n - threshold * n + 1`` rarest.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        labels = pa.concat_arrays(table["label"].chunks).dictionary_encode()
+        cls, rows = labels.indices.to_numpy(), len(table)
+        visits, first = table["visits"].to_numpy().astype(bool), table["chunk"][0].as_py() == 0
+        parts = []
+        for i, _, sh, count, doc in weighted_shingles(table["_text"], k):
+            nth, at = _spread(np.zeros(len(sh), np.int64), count)
+            parts.append((mix64(sh[at] + nth.astype(U) * _GOLD), doc[at] + i))
+        e, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n = np.bincount(d, minlength=rows)
+        start = np.cumsum(n) - n
+        _, e, often = np.unique(e, return_inverse=True, return_counts=True)
+        by_rarity = np.argsort(often, kind="stable")
+        rank = np.empty(len(often), np.int64)
+        rank[by_rarity] = np.arange(len(often))
+        shared, e = often[by_rarity] > 1, rank[e]
+        order = np.lexsort((e, d))
+        e, d = e[order], d[order]
+        code = d * len(often) + e
+        rare = (np.arange(len(d)) - start[d] <= n[d] - np.ceil(threshold * n[d] - 1e-6)) & shared[e]
+        home = np.flatnonzero(rare & ~visits[d])
+        home = home[np.argsort(e[home], kind="stable")]
+        asks = np.flatnonzero(rare & (visits[d] | first))
+        low = np.searchsorted(e[home], e[asks], side="left")
+        met = np.searchsorted(e[home], e[asks], side="right") - low
+        root = np.arange(len(labels.dictionary))
+        for i, j in _runs(met, AT_ONCE):
+            at, of = _spread(low[i:j], met[i:j])
+            u, v = d[asks[i:j][of]], d[home[at]]
+            fit = (visits[u] | (v < u)) & (np.minimum(n[u], n[v]) >= np.maximum(n[u], n[v]) * threshold)
+            u, v = np.divmod(np.unique((u * rows + v)[fit & (root[cls[u]] != root[cls[v]])]), rows)
+            for x, y in _runs(n[u], AT_ONCE):
+                a, b = u[x:y], v[x:y]
+                open_ = root[cls[a]] != root[cls[b]]
+                a, b = a[open_], b[open_]
+                at, of = _spread(start[a], n[a])
+                asked = b[of] * len(often) + e[at]
+                hit = code[np.minimum(np.searchsorted(code, asked), len(code) - 1)] == asked
+                both = np.bincount(of, hit, minlength=len(a))
+                ok = both >= threshold * (n[a] + n[b] - both)
+                root = _united(root, cls[a[ok]], cls[b[ok]])
+        joined = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"node": labels.dictionary.take(pa.array(joined)), "leader": labels.dictionary.take(pa.array(root[joined]))})
+
+    return run
+
+
+def _left_apart(met: DataFrame, label: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame | None:
+    """Links (node, leader) of all similar nodes that share a bucket and are of different classes."""
+    rows = met.select("key", "node", "n", "size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("key")
+    rows = cut(rows.join(several, "key"))
+    largest = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    home = rows.groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("home"), F.first("n").alias("n"), F.first("label").alias("label"))
+    load = cut(home.groupBy("home").agg(F.sum("n").alias("load")))
+    total = load.agg(F.sum("load")).first()[0]
+    if not total:
+        return None
+    piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("load") / BLOCK))
+    lives = cut(home.join(load, "home").select("node", "n", "label", F.pmod(F.xxhash64("home", piece), F.lit(total // BLOCK + 1)).alias("block")))
+    there = cut(rows.select("key", "node", "label").join(lives.select("node", "n", "block"), "node").join(largest, "key").withColumn("main", F.col("label") == F.col("main")))
+    blocks = there.groupBy("key", F.col("block").alias("to")).agg(F.max("main").alias("has_main"))
+    # of two that are not of the main class one visits the other
+    goes = (F.col("to") != F.col("block")) & (F.col("has_main") | (F.col("to") < F.col("block")))
+    guests = there.filter("NOT main").join(blocks, "key").filter(goes).select("node", "n", "label", F.col("to").alias("block")).distinct()
+    guests = cut(guests)
+    chunks = guests.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK).alias("chunks"))
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1))
+    residents = lives.join(chunks, "block", "left").select("node", "label", "block", nth.alias("chunk"), F.lit(False).alias("visits"))
+    guests = guests.join(chunks, "block").select("node", "label", "block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(True).alias("visits"))
+    both = residents.unionByName(guests).join(texts, "node").select("block", "chunk", "label", "visits", "_text")
+    return cut(both.groupBy("block", "chunk").applyInArrow(_similar_classes(k, threshold), "node binary, leader binary"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: its id, and the smallest id of its class."""
     arrow_session(docs.sparkSession)
@@ -191,27 +304,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         texts = texts.dropDuplicates(["node"])
     # the node that shares most buckets with most nodes leads: an original rather than one of its copies
     central = met.groupBy("node").agg(F.sum("size").alias("order"))
-    ranked = met.select("key", "node", "n").join(central, "node").withColumn("label", F.col("node"))
-    edges, label, turn, links = None, None, 0, 0
-    while True:
-        first = ranked.groupBy("key").agg(F.max(F.struct("order", "node", "n", "label")).alias("first"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
-        first = first.select("key", F.col("first.node").alias("leader"), F.col("first.n").alias("m"), F.col("first.label").alias("own"))
-        across = (F.col("label") != F.col("own")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold)
-        pairs = ranked.join(first, "key").filter(across).select("node", "leader").distinct()
-        found = _verified(pairs, texts, k, threshold)
-        new = found.count()
-        links += new
-        edges = found if edges is None else edges.unionByName(found)
-        if new or label is None:
-            label = _components(edges)
-        if turn and new <= SETTLED * links:
-            break
-        turn += 1
-        # now members of the smallest classes lead: each is compared with all members of other classes in its bucket
-        sized = label.join(label.groupBy("label").agg(F.count("*").alias("size")), "label")
-        drawn = F.xxhash64("key", "node", F.lit(turn)).bitwiseAND(F.lit((1 << 24) - 1))
-        ranked = met.select("key", "node", "n").join(sized, "node", "left")
-        ranked = ranked.select("key", "node", "n", F.coalesce("label", "node").alias("label"), (drawn - F.shiftleft(F.coalesce("size", F.lit(1)), 24)).alias("order"))
+    ranked = met.select("key", "node", "n").join(central, "node")
+    first = ranked.groupBy("key").agg(F.max(F.struct("order", "node", "n"))["node"].alias("leader"), F.max(F.struct("order", "node", "n"))["n"].alias("m"))
+    fits = (F.col("node") != F.col("leader")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold)
+    edges = _verified(ranked.join(first, "key").filter(fits).select("node", "leader").distinct(), texts, k, threshold)
+    label = _components(edges)
+    more = _left_apart(met, label, texts, k, threshold)
+    if more is not None:
+        label = _components(edges.unionByName(more))
     reps = signed.groupBy("node").agg(F.min("id").alias("rep"))
     named = reps.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = named.groupBy("label").agg(F.min("rep").alias("class_id"))

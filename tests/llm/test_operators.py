@@ -176,6 +176,56 @@ def test_near_classes(docs, spark):
     assert sorted(r["doc_id"] for r in kept.filter("doc_id >= 1000").collect()) == sorted(d for d in least.values() if d is not None and d >= 1000)
 
 
+def test_near_classes_among_templates(spark):
+    """Pairs in buckets full of other texts are found, however many links a large group has elsewhere."""
+    own = random.Random(11)
+    word = lambda: f"w{own.randrange(10**6)}"
+    base, frame = [word() for _ in range(100)], [word() for _ in range(175)]
+    texts = [base]
+    for i in range(1500):
+        texts.append([*base[: i % 96 + 2], word(), *base[i % 96 + 3 :]])
+    tails = [[word() for _ in range(25)] for _ in range(600)]
+    texts += [frame + t for t in tails]
+    twins = [100, 250, 400]
+    texts += [frame + tails[i][:5] + [word() for _ in range(20)] for i in twins]
+    want = [0] * 1501 + list(range(1501, 2101)) + [1501 + i for i in twins]
+    x, y = (shingles(" ".join(texts[i])) for i in (1601, 2101))
+    assert sum((x & y).values()) > 0.8 * sum((x | y).values())
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = dict(map(tuple, near_dedup.near_duplicate_classes(table).collect()))
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("visits", [False, True])
+def test_similar_classes_of_a_block(visits, monkeypatch):
+    """All similar texts of a block are joined, also where they are compared in many runs."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "AT_ONCE", 50)
+    own = random.Random(5)
+    texts = []
+    for _ in range(12):
+        words = [own.choice("abcd") for _ in range(own.randrange(1, 60))]
+        texts += [" ".join(w if own.random() > p else "x" for w in words) for p in (0, 0.01, 0.03, 0.1, 0.2)]
+    here = [visits and i % 2 == 1 for i in range(len(texts))]
+    names = [bytes([i]) for i in range(len(texts))]
+    table = pa.table({"chunk": pa.array([0] * len(texts), pa.int64()), "label": pa.chunked_array([pa.array(names, pa.binary())]), "visits": here, "_text": texts})
+    parent, sets = list(range(len(texts))), [shingles(t) for t in texts]
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            same, both = sum((sets[i] & sets[j]).values()), len(texts[i].split()) and sum((sets[i] | sets[j]).values())
+            if not (here[i] and here[j]) and same >= 0.8 * both:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    links = near_dedup._similar_classes(5, 0.8)(table).to_pydict()
+    assert dict(zip(links["node"], links["leader"], strict=True)) == {names[i]: names[find(i)] for i in range(len(texts)) if find(i) != i}
+
+
 def test_near_classes_of_nothing(empty):
     assert near_dedup.near_duplicate_classes(empty).count() == 0
 
