@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 
 from ._common import cut
 
-SAMPLES = 16
+SAMPLES = 24
 _BITS = 24
 _LEAST = -(2**63)  # stands for a null id
 

@@ -389,6 +389,12 @@ def test_fingerprints_collide_like_weighted_jaccard(spark):
     assert abs(same - sum((a & b).values()) / sum((a | b).values())) < 0.1
 
 
+def test_fingerprints_have_24_samples(spark):
+    """A likeness moves in steps of 1/24 at most."""
+    row = fingerprints.fingerprint_report(spark.createDataFrame([(1, BASE)], "doc_id long, text string")).first()
+    assert len(row["fingerprint"]) >= 8 * 24 and len(row["edited_fingerprint"]) >= 8 * 24
+
+
 def test_fingerprints_of_nothing(empty):
     assert fingerprints.fingerprint_report(empty).count() == 0
 
