@@ -7,6 +7,7 @@ each word and a worker's memory does not follow the size of a partition.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -15,20 +16,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that are held as 64-bit arrays at once.
-CHUNK_BYTES = 4 << 20
-#: Rows of one Arrow batch handed to Python.
+#: Text bytes that are held as 64-bit arrays at once.  A longer text is held alone, at about 35 bytes for each of its own.
+CHUNK_BYTES = 2 << 20
+#: Rows, and bytes, of one Arrow batch handed to Python; a longer row is a batch of its own.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 U = np.uint64
 
 
 def arrow_session(spark: SparkSession) -> SparkSession:
-    """Bounds the rows of the Arrow batches that go to Python workers."""
+    """Bounds the Arrow batches that go to Python workers.
+
+    Plans read these settings when they run, so they stay in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
+def column(name: str) -> Column:
+    """The column of just this name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The frame with its columns named by place: ``_c0``, ``_c1``, ...; no name can clash or be misread."""
+    return docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+
+
+def tidy() -> None:
+    """Hands freed memory of a Python worker back; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share.
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,24 +70,70 @@ def test_bpe_is_the_library(docs):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [1, 7, 64, 2048])
+def there_and_back(ids, block=token_store.BLOCK):
+    start, code = token_store.encode_blocks(ids, block)
+    start = token_store.StartModel.from_bytes(start.to_bytes())
+    return token_store.decode_blocks(start, [c for c, _, _ in code], [k for _, k, _ in code], [c for _, _, c in code]), start, code
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1024])
 def test_range_coder_round_trip(block):
     r = np.random.default_rng(block)
-    for n in (0, 1, 5, 500):
-        for ids in (r.integers(0, 49408, n), r.zipf(1.3, n) % 65536, np.full(n, 65535), np.tile(r.integers(0, 65536, 9), n // 9 + 1)[:n]):
-            code = token_store.encode_blocks(ids, block)
-            back = token_store.decode_blocks([c for c, _, _ in code], [k for _, k, _ in code], [c for _, _, c in code])
-            assert (back == ids).all()
+    for n in (0, 1, 5, 500, 3000):
+        skewed = np.where(r.random(n) < 0.99, 7, r.integers(0, 5000, n))
+        for ids in (r.integers(0, 49408, n), r.zipf(1.3, n) % 65536, np.full(n, 65535), np.tile(r.integers(0, 65536, 9), n // 9 + 1)[:n], skewed, r.integers(2**31, 2**32, n)):
+            assert (there_and_back(ids, block)[0] == ids).all()
+
+
+def test_range_coder_of_many_different_ids():
+    ids = np.random.default_rng(1).permutation(100_000)
+    assert (there_and_back(ids)[0] == ids).all()
+    with pytest.raises(ValueError):
+        token_store.encode_blocks(np.arange(140_000))
+
+
+def test_range_coder_mixes_orders(spark):
+    """Fewer bits than the order-0 entropy, than a general compressor, and than any one order needs."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    ids = token_store._library(path).encode(pa.array(texts))[0].astype(np.int64)
+    back, start, code = there_and_back(ids)
+    assert (back == ids).all()
+    bits = 8 * (len(start.to_bytes()) + sum(len(c) + 20 for c, _, _ in code)) / len(ids)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert bits < -(share * np.log2(share)).sum() - 1
+    assert bits < 0.75 * 8 * sum(len(zlib.compress(ids[i : i + 2048].astype("<u2").tobytes(), 9)) for i in range(0, len(ids), 2048)) / len(ids)
+
+
+def test_range_coder_learns_inside_a_block():
+    """What repeats only inside blocks is cheaper than what does not repeat."""
+    r = np.random.default_rng(0)
+    fresh = r.integers(0, 20_000, 200 * 1024)
+    again = fresh.reshape(200, 1024).copy()
+    again[:, 128:] = np.tile(again[:, :128], 7)
+    size = [sum(len(c) for c, _, _ in there_and_back(x.ravel())[2]) for x in (fresh, again)]
+    assert size[1] < 0.6 * size[0]
 
 
-def test_range_coder_learns_and_checks():
+def test_range_coder_checks():
     ids = np.tile(np.random.default_rng(0).integers(0, 49408, 50), 400)
-    code = token_store.encode_blocks(ids)
-    assert sum(len(c) for c, _, _ in code) < 0.4 * 2 * len(ids)
+    start, code = token_store.encode_blocks(ids)
     bad = bytearray(code[0][0])
-    bad[40] ^= 1
+    bad[2] ^= 1
     with pytest.raises(ValueError):
-        token_store.decode_blocks([bytes(bad)], [code[0][1]], [code[0][2]])
+        token_store.decode_blocks(start, [bytes(bad)], [code[0][1]], [code[0][2]])
+
+
+def test_library_cache_is_the_library():
+    from tokenizers import Tokenizer
+
+    path, own = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    texts = ["".join(own.choice(" \n\tabc\xe9\u0130K.,;!?'sre12\u65e5\U0001f642\u0301 \x1c \x85\u01c5") for _ in range(own.randint(0, 40))) for _ in range(2000)]
+    texts += ["<|startoftext|>.x", "a<|endoftext|>, b", "don't.", "it's, x's. 'S. 're!", "x" * 20_000, "ab, " * 5000]
+    flat, n = token_store._Library(path).encode(pa.array(texts))
+    ends = np.cumsum(n)
+    lib = Tokenizer.from_file(path)
+    assert [flat[a:b].tolist() for a, b in zip(ends - n, ends, strict=True)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_files(docs, spark):
