@@ -90,6 +90,11 @@ def crc_mod(col: str | Column, mod: int = 3) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def share_of(key: Column, share: float) -> Column:
+    """Whether a 64-bit hash falls into a share of all hashes, however small."""
+    return F.shiftrightunsigned(key, 2) < F.lit(min(1 << 62, round(share * (1 << 62))))
+
+
 # -- hashes -----------------------------------------------------------------
 
 

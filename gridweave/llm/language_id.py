@@ -11,23 +11,30 @@ their share of all letters.
 The texts of a batch are worked on together: step ``t`` of the Viterbi pass
 handles word ``t`` of all texts that still have one.
 
-Defined results: a null text or one without a letter is ``und`` with score 0;
-ties go to the language that sorts first; without any labelled text everything
-is ``und``.  Labels are only read in ``fit``.
+A word is a letter and the letters and marks that follow it.  Words of a script
+that no language has count among a text's letters, but for no language.
+
+Defined results: a null text or one without a letter is ``und`` with score 0; a
+text whose scripts no language has gets the language that sorts first, with
+score 0; ties go to the language that sorts first; without any labelled text
+everything is ``und``; repeated rows are each labelled, and learned from, alike;
+an empty table gives no rows; a very long text is labelled whole, in a batch of
+its own.  Labels are only read in ``fit``, and columns are told apart by place,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, arrow_session, crc_mod, mix64
+from ._common import U, arrow_session, column, crc_mod, mix64, numbered, share_of, tidy
 
 #: Labelled documents to learn from, about; the sample is by a hash of the id.
 TRAIN_ROWS = 8_000
@@ -40,7 +47,7 @@ SCRIPT_SHARE = 0.01
 #: Added to all counts.
 SMOOTH = 0.5
 #: Words that a worker keeps the scores of.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Texts with a lower score have no clear language.
 CLEAR = 0.35
 UND = "und"
@@ -48,16 +55,20 @@ UND = "und"
 # First code points of Unicode script ranges, and their scripts.
 _SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
-    (0x0600, "arabic"), (0x0700, "other"), (0x0900, "devanagari"), (0x0980, "other"), (0x0E00, "thai"),
-    (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"),
-    (0x1F00, "greek"), (0x2000, "other"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "han"),
-    (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"),
-    (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"), (0x323B0, "other"),
+    (0x0600, "arabic"), (0x0700, "syriac"), (0x0750, "arabic"), (0x0780, "thaana"), (0x07C0, "other"),
+    (0x08A0, "arabic"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"),
+    (0x0B00, "oriya"), (0x0B80, "tamil"), (0x0C00, "telugu"), (0x0C80, "kannada"), (0x0D00, "malayalam"),
+    (0x0D80, "sinhala"), (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "myanmar"),
+    (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "cherokee"), (0x1400, "other"),
+    (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "other"), (0x1E00, "latin"), (0x1F00, "greek"),
+    (0x2000, "other"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "han"), (0xA000, "other"),
+    (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"),
+    (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"), (0x323B0, "other"),
 ]
 _FIRST = np.array([a for a, _ in _SCRIPTS])
 SCRIPT_NAMES = sorted({b for _, b in _SCRIPTS})
 _SCRIPT_OF = np.array([SCRIPT_NAMES.index(b) for _, b in _SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def script_of(word: str) -> int:
@@ -99,11 +110,15 @@ class Model:
         bucket, owner = ngram_buckets(words)
         out = np.stack([np.bincount(owner, self.logp[bucket, i], minlength=len(words)) for i in range(len(self.langs))], 1)
         ok = self.allowed[np.array([script_of(w) for w in words])]
-        none = ~ok.any(1)
-        out[none] = 0
-        out = np.where(ok | none[:, None], out, -1e4)
+        out[~ok.any(1)] = 0
+        out = np.where(ok | ~ok.any(1)[:, None], out, -1e4)
         return (out - out.max(1, keepdims=True)).astype(np.float32)
 
+    def counted_letters(self, words: list[str]) -> np.ndarray:
+        """Letters that a word counts for its language: none where no language has its script."""
+        ok = self.allowed.any(1)
+        return np.array([len(w) if ok[script_of(w)] else 0 for w in words], np.int32)
+
 
 def _counted(langs: list[str]):
     at = {x: i for i, x in enumerate(langs)}
@@ -134,12 +149,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     What comes to the driver is one number for each language and feature.
     """
     arrow_session(docs.sparkSession)
-    pool = docs.filter((crc_mod(id_col) != 1) & F.col(lang_col).isNotNull())
-    seen = {r[0]: r[1] for r in pool.groupBy(lang_col).count().collect()}
-    langs = sorted(str(x) for x in seen)
+    pool = docs.filter((crc_mod(column(id_col)) != 1) & column(lang_col).isNotNull())
+    seen = {r[0]: r[1] for r in pool.groupBy(column(lang_col).cast("string")).count().collect()}
+    langs = sorted(seen)
     share = min(1.0, rows / max(1, sum(seen.values())))
-    some = pool.filter(F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
-    some = some.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    some = pool.filter(share_of(F.xxhash64(F.lit(6), column(id_col), column(text_col)), share))
+    some = some.select(column(text_col).alias("_text"), column(lang_col).cast("string").alias("_lang"))
     n = np.zeros((len(langs), FEATURES + len(SCRIPT_NAMES)))
     if langs:
         for r in some.mapInArrow(_counted(langs), "lang long, feature long, n long").groupBy("lang", "feature").agg(F.sum("n")).toLocalIterator():
@@ -157,15 +172,15 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> n
     lens = np.diff(bounds)
     order = np.argsort(-lens, kind="stable")
     lens, starts = lens[order], bounds[:-1][order]
-    path = np.zeros(n, np.uint8)
+    path = np.zeros(n, np.int32)
     if not n:
         return path
     steps = int(lens[0])
     active = np.searchsorted(-lens, -np.arange(steps), side="left")  # texts with more than t words
     stay = np.zeros((n, states), bool)
-    jump = np.zeros(n, np.uint8)
+    jump = np.zeros(n, np.int32)
     v = scores[starts[: active[0]]].copy()
-    ends = np.zeros(len(lens), np.uint8)
+    ends = np.zeros(len(lens), np.int32)
     ends[: active[0]] = v.argmax(1)
     for t in range(1, steps):
         a = active[t]
@@ -205,55 +220,75 @@ class Labeller:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.words, self.table, self.letters = _Words(), np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        room = 1 << 12
+        self.words, self.table = _Words(), np.zeros((room, len(self.model.langs)), np.float32)
+        self.letters, self.counted = np.zeros(room, np.int32), np.zeros(room, np.int32)
 
-    def label(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language of each word, letters of each word, and the bounds of the texts."""
+    def _learn(self) -> None:
+        new, self.words.new = self.words.new, []
+        first, last = len(self.words) - len(new), len(self.words)
+        while last > len(self.letters):
+            self.table, self.letters, self.counted = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.letters, self.counted))
+        self.table[first:last] = self.model.word_scores(new)
+        self.letters[first:last] = [len(w) for w in new]
+        self.counted[first:last] = self.model.counted_letters(new)
+
+    def label(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language of each word, its letters, those that count for a language, and the bounds of the texts."""
         if len(self.words) > CACHE_WORDS:
-            self.__init__(self.model)
+            self.forget()
         rows = []
         for text in texts:
             found = _WORD.findall(text.lower()) if text else ()
             rows.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
-        new, self.words.new = self.words.new, []
-        if new:
-            self.table = np.concatenate([self.table, self.model.word_scores(new)])
-            self.letters = np.concatenate([self.letters, np.array([len(w) for w in new], np.int32)])
+        if self.words.new:
+            self._learn()
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
         at = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        return viterbi(self.table[at], bounds), self.letters[at], bounds
+        return viterbi(self.table[at], bounds), self.letters[at], self.counted[at], bounds
+
+
+#: Texts that are labelled at once.
+TEXTS = 512
 
 
 def _labelled(model: Model, keep: list[str], spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Labeller(model)
-        for batch in batches:
-            n = batch.num_rows
-            langs, score, parts = np.full(n, UND, object), np.zeros(n), [[] for _ in range(n)]
-            if model.langs:
-                path, letters, bounds = own.label(batch.column("_text").to_pylist())
-                doc = np.repeat(np.arange(n), np.diff(bounds))
-                k = len(model.langs)
-                mass = np.bincount(doc * k + path, letters, minlength=n * k).reshape(n, k)
-                total = mass.sum(1)
-                has = total > 0
-                best = mass.argmax(1)
-                langs[has] = np.array(model.langs, object)[best[has]]
-                score[has] = (mass[np.arange(n), best] / np.maximum(total, 1))[has]
+        k = len(model.langs)
+        for whole in batches:
+            for first in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(first, TEXTS)
+                n = batch.num_rows
+                langs, score, parts = np.full(n, UND, object), np.zeros(n), [[] for _ in range(n)]
+                if k:
+                    path, letters, counted, bounds = own.label(batch.column("_text").to_pylist())
+                    doc = np.repeat(np.arange(n), np.diff(bounds))
+                    mass = np.bincount(doc * k + path, counted, minlength=n * k).reshape(n, k)
+                    total = np.bincount(doc, letters, minlength=n)
+                    has = total > 0
+                    best = mass.argmax(1)
+                    langs[has] = np.array(model.langs, object)[best[has]]
+                    score[has] = (mass[np.arange(n), best] / np.maximum(total, 1))[has]
+                    if spans:
+                        new = np.ones(len(path), bool)
+                        new[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
+                        at = np.flatnonzero(new)
+                        last = np.concatenate([at[1:], [len(path)]])
+                        for a, b in zip(at.tolist(), last.tolist(), strict=True) if len(at) else ():
+                            d = int(doc[a])
+                            parts[d].append({"lang": model.langs[path[a]], "word": int(a - bounds[d]), "words": b - a})
+                cols = [batch.column(c) for c in keep] + [pa.array(langs.tolist(), pa.string()), pa.array(score)]
+                names = [*keep, "lang_pred", "score"]
                 if spans:
-                    new = np.ones(len(path), bool)
-                    new[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
-                    first = np.flatnonzero(new)
-                    last = np.concatenate([first[1:], [len(path)]])
-                    for a, b in zip(first.tolist(), last.tolist(), strict=True) if len(first) else ():
-                        d = int(doc[a])
-                        parts[d].append({"lang": model.langs[path[a]], "word": int(a - bounds[d]), "words": b - a})
-            cols = [batch.column(c) for c in keep] + [pa.array(langs.tolist(), pa.string()), pa.array(score)]
-            names = [*keep, "lang_pred", "score"]
-            if spans:
-                cols.append(pa.array(parts, pa.list_(pa.struct([("lang", pa.string()), ("word", pa.int32()), ("words", pa.int32())]))))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(cols, names)
+                    cols.append(pa.array(parts, pa.list_(pa.struct([("lang", pa.string()), ("word", pa.int32()), ("words", pa.int32())]))))
+                    names.append("spans")
+                yield pa.RecordBatch.from_arrays(cols, names)
+        del own
+        tidy()
 
     return run
 
@@ -261,12 +296,12 @@ def _labelled(model: Model, keep: list[str], spans: bool):
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, spans: bool = False) -> DataFrame:
     """Columns ``keep`` with lang_pred, score and, as asked, the spans (language, first word, words)."""
     arrow_session(docs.sparkSession)
-    names = docs.columns if keep is None else keep
-    src = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs[text_col].alias("_text"))
-    own = [f"_c{i}" for i in range(len(names))]
-    schema = ", ".join(f"{c} {docs.schema[n].dataType.simpleString()}" for c, n in zip(own, names, strict=True))
+    at = [docs.columns.index(n) for n in keep] if keep is not None else range(len(docs.columns))
+    own = [f"_c{i}" for i in at]
+    src = numbered(docs).select(*own, F.col(f"_c{docs.columns.index(text_col)}").alias("_text"))
+    schema = ", ".join(f"_c{i} {docs.schema[i].dataType.simpleString()}" for i in at)
     out = src.mapInArrow(_labelled(model, own, spans), f"{schema}{', ' if own else ''}lang_pred string, score double" + ", spans array<struct<lang:string,word:int,words:int>>" * spans)
-    return out.toDF(*names, *out.columns[len(names) :])
+    return out.toDF(*[docs.columns[i] for i in at], *out.columns[len(own) :])
 
 
 def keep_clear(docs: DataFrame, model: Model, text_col: str = "text", clear: float = CLEAR) -> DataFrame:

@@ -8,11 +8,15 @@ two-dimensional tables the same way.  A score is the logistic function of a sum
 of table entries, looked up for all documents of a batch at once.
 
 Features come from the text alone.  The model is fitted on the driver from a
-bounded sample of labelled rows, of ``TRAIN_ROWS`` rows at most in expectation;
-only features and labels of those come to the driver.
+bounded sample of labelled rows: ``TRAIN_ROWS`` of them, by hashes of the ids,
+and never more than twice as many; only their features and labels come to the
+driver.
 
 Defined results: a null text is the empty text and has a score like any other;
-labels other than 0 and 1 are not used; without labels every score is 0.5.
+labels other than 0 and 1 are not used; of labels that differ for one id the
+larger counts; without labels every score is 0.5; repeated rows get the same
+score; an empty table gives no rows; a very long text is scored whole, in a
+chunk of its own; columns are told apart by place, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, arrow_session, chunks, crc_mod, text_bytes, word_hashes, word_spans
+from ._common import SPACE, arrow_session, chunks, column, crc_mod, numbered, share_of, text_bytes, tidy, word_hashes, word_spans
 
 TRAIN_ROWS = 12_000
 BINS = 32
@@ -65,9 +69,9 @@ def _distinct(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return np.bincount(owner[first], minlength=n), top
 
 
-def features(column: pa.Array) -> np.ndarray:
+def features(texts: pa.Array) -> np.ndarray:
     """One row of ``FEATURES`` for each text."""
-    data, offsets = text_bytes(column)
+    data, offsets = text_bytes(texts)
     out = np.zeros((len(offsets) - 1, len(FEATURES)))
     line = np.zeros(256, bool)
     line[[10, 13]] = True
@@ -205,13 +209,14 @@ def _featured(keep: list[str]):
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """Learns from about ``rows`` labelled documents whose crc32(id) mod 3 is not 1."""
     arrow_session(docs.sparkSession)
-    known = labels.filter((crc_mod(id_col) != 1) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["_id"])
+    known = labels.filter((crc_mod(column(id_col)) != 1) & column(label_col).isin(0, 1)).groupBy(column(id_col).alias("_id")).agg(F.max(column(label_col)).cast("int").alias("y"))
     share = min(1.0, rows / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64(F.lit(3), F.col("_id")), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
+    known = known.filter(share_of(F.xxhash64(F.lit(3), F.col("_id")), share))
     # about ``rows`` pairs of numbers
-    src = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("_text"))
+    src = docs.select(column(id_col).alias("_doc"), column(text_col).alias("_text"))
     some = src.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_text", "y", F.xxhash64("_text").alias("o"))
-    got = some.mapInArrow(_featured(["y", "o"]), "y int, o long, x array<double>").orderBy("o").collect()
+    # the bound holds also where many rows share an id
+    got = some.mapInArrow(_featured(["y", "o"]), "y int, o long, x array<double>").orderBy("o", "y").limit(2 * rows).collect()
     x = np.array([r["x"] for r in got]).reshape(-1, len(FEATURES))
     return train(x, np.array([r["y"] for r in got], float))
 
@@ -219,15 +224,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` with score (0 to 1) and predicted (1 from 0.5)."""
     arrow_session(docs.sparkSession)
-    names = docs.columns if keep is None else keep
-    own = [f"_c{i}" for i in range(len(names))]
-    src = docs.select(*[docs[c].alias(o) for c, o in zip(names, own, strict=True)], docs[text_col].alias("_text"))
+    at = [docs.columns.index(n) for n in keep] if keep is not None else range(len(docs.columns))
+    own = [f"_c{i}" for i in at]
+    src = numbered(docs).select(*own, F.col(f"_c{docs.columns.index(text_col)}").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.score(features(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*own, "score", "predicted"])
+        tidy()
 
-    schema = ", ".join(f"{o} {docs.schema[c].dataType.simpleString()}" for c, o in zip(names, own, strict=True))
+    schema = ", ".join(f"_c{i} {docs.schema[i].dataType.simpleString()}" for i in at)
     out = src.mapInArrow(run, f"{schema}{', ' if own else ''}score double, predicted int")
-    return out.toDF(*names, "score", "predicted")
+    return out.toDF(*[docs.columns[i] for i in at], "score", "predicted")
