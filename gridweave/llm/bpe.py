@@ -13,7 +13,10 @@ follows a space is split by the pattern as a whole instead.
 
 Defined results: a null text is encoded as the empty text, to no ids; special
 tokens in a text become their ids, as the tokenizers library does by default;
-truncation and padding are not used; other columns are not touched.
+truncation and padding are not used; of pairs with one rank the leftmost is
+merged; repeated rows are each encoded; an empty table gives no rows; a text or
+a pre-token of any length is encoded whole; other columns, whatever their
+names, are not touched.  Vocabulary files of another kind are refused.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._common import arrow_session
+from ._common import arrow_session, numbered, tidy
 
 # The published split pattern of byte-level BPE.
 SPLIT = (
@@ -37,10 +41,10 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Words that a worker keeps; it starts anew when there are more.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 300_000
 #: Leaves of all trees that are worked on at once.
 TREE_CELLS = 1 << 20
-#: Leaves from which a pre-token is merged alone.
+#: Leaves from which a pre-token is merged alone, by the same tree in plain lists; ids do not depend on it.
 LONG = 2048
 _NONE = np.iinfo(np.int64).max
 _AFTER_SPACE = re.compile(r" (?:\s|\Z)")
@@ -91,12 +95,25 @@ class _Ragged:
         return self.flat[where], lens
 
 
+def _supported(spec: dict, path: str) -> None:
+    """Raises where a file asks for anything but plain byte-level BPE."""
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if spec["normalizer"] is not None or model["type"] != "BPE" or not plain:
+        raise ValueError(f"{path}: only plain byte-level BPE without a normalizer is supported")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{path}: the pre-tokenizer must be ByteLevel with its own pattern and no prefix space")
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: added tokens must be plain")
+
+
 class Tokenizer:
     """A byte-level BPE tokenizer read from a ``tokenizers`` JSON file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _supported(spec, path)
         vocab: dict[str, int] = spec["model"]["vocab"]
         chars = byte_characters()
         back = {c: b for b, c in enumerate(chars)}
@@ -355,6 +372,7 @@ def _encoded(path: str, keep: list[str], with_ids: bool, digests: bool):
                     cols += [pa.array(of_ids), pa.array(of_text)]
                     names += ["ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        tidy()
 
     return run
 
@@ -366,19 +384,19 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     and a lost task is just run again.
     """
     arrow_session(docs.sparkSession)
-    names = docs.columns if keep is None else keep
-    src = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(names)], docs[text_col].alias("_text"))
-    own = [f"_c{i}" for i in range(len(names))]
-    schema = ", ".join(f"{c} {docs.schema[n].dataType.simpleString()}" for c, n in zip(own, names, strict=True))
-    schema += ", n_tokens long" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
+    at = [docs.columns.index(n) for n in keep] if keep is not None else range(len(docs.columns))
+    own = [f"_c{i}" for i in at]
+    src = numbered(docs).select(*own, F.col(f"_c{docs.columns.index(text_col)}").alias("_text"))
+    schema = ", ".join(f"_c{i} {docs.schema[i].dataType.simpleString()}" for i in at)
+    schema += ", " * bool(own) + "n_tokens long" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
     out = src.mapInArrow(_encoded(path, own, ids, digests), schema)
-    return out.toDF(*names, *out.columns[len(names) :])
+    return out.toDF(*[docs.columns[i] for i in at], *out.columns[len(own) :])
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """The frame with a column ``decoded``: the text of its ids (null: empty)."""
     names = encoded.columns
-    src = encoded.toDF(*[f"_c{i}" for i in range(len(names))])
+    src = numbered(encoded)
     at = f"_c{names.index(ids_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,11 +21,16 @@ of the others.  Inside a block only pairs can be similar that share one of
 their rarest shingles, so no pair is left out.  Similar nodes are joined to
 classes by spreading the smallest label and jumping pointers.
 
+A leader's text is sent to the members in as many copies as its members need
+tasks, and what a step wrote to the shared folder goes with the next step.
+
 Words are lower-cased runs of letters, digits and non-ASCII characters.
 Defined results: texts of fewer than ``k`` words have one shingle, of all their
 words; a text without words is like equal texts only; null counts as empty;
 repeated rows get the same class; a class is named by its smallest id, null
-where it has no id.
+where it has no id; an empty table gives no rows; a very long text is signed
+and compared whole, in a chunk of its own; other columns, whatever their names,
+are not touched.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NON_WORD, U, arrow_session, chunks, cut, mix64, seeds, shingles, text_bytes, word_hashes, word_spans
+from ._common import NON_WORD, U, arrow_session, chunks, column, cut, drop_cut, mix64, numbered, seeds, shingles, text_bytes, tidy, word_hashes, word_spans
 
 BANDS = 32
 ROWS = 6
@@ -45,7 +50,9 @@ HASHES = BANDS * ROWS
 #: Shingles of the texts that live in a block, and of those that visit it at once.
 BLOCK = 1 << 17
 #: Shingles that are compared at once inside a block.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
+#: Members of a bucket that meet one copy of their leader's text.
+MEMBERS = 1 << 10
 _GOLD = U(0x9E3779B97F4A7C15)
 _STEP = seeds(1, 5)
 _EMPTY = np.iinfo(np.uint64).max
@@ -90,9 +97,9 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, s
     return out.reshape(sets, hashes)
 
 
-def weighted_shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def weighted_shingles(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: shingle hashes, how often each occurs, and its text."""
-    data, offsets = text_bytes(column, lower=True)
+    data, offsets = text_bytes(texts, lower=True)
     for i, j in chunks(offsets):
         part = data[offsets[i] : offsets[j]]
         starts, stops, bounds = word_spans(part, offsets[i : j + 1] - offsets[i], NON_WORD)
@@ -124,6 +131,7 @@ def _signed(k: int):
                 lens = np.where(n > 0, BANDS, 0)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(keys[n > 0].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("node").slice(i, j - i), pa.array(n), bands], ["id", "node", "n", "bands"])
+        tidy()
 
     return run
 
@@ -143,14 +151,15 @@ def _similar(k: int, threshold: float):
                 at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
                 both = np.minimum(n, m[at])[y[at] == x].sum() if len(y) and len(x) else 0
                 ok.append(bool(both >= threshold * (n.sum() + m.sum() - both) and both > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leader")], ["node", "leader"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leader")], ["node", "leader"]).filter(pa.array(ok, pa.bool_()))
+        tidy()
 
     return run
 
 
 def text_node(text_col: str | Column) -> Column:
     """What equal texts share: 128 bits of the text (null: the empty text)."""
-    c = F.col(text_col) if isinstance(text_col, str) else text_col
+    c = column(text_col) if isinstance(text_col, str) else text_col
     return F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
 
 
@@ -165,15 +174,25 @@ def _components(edges: DataFrame) -> DataFrame:
         step = step.join(jump, "new", "left").select("node", "label", F.least("new", "next").alias("new"))
         step = cut(step)
         if step.filter(F.col("new") != F.col("label")).isEmpty():
+            drop_cut(both, step)
             return label
-        label = step.select("node", F.col("new").alias("label"))
+        new = cut(step.select("node", F.col("new").alias("label")))
+        drop_cut(label, step)
+        label = new
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (node, leader) whose texts are similar.  A pair moves the text of its node, not its leader's."""
-    a, b = texts.select("node", F.col("_text").alias("a")), texts.select(F.col("node").alias("leader"), F.col("_text").alias("b"))
-    both = pairs.join(a, "node").join(b, "leader").select("node", "leader", "a", "b")
-    return cut(both.mapInArrow(_similar(k, threshold), "node binary, leader binary"))
+    """The pairs (node, leader) whose texts are similar.  A pair moves the text of its node; a leader's goes once for each ``MEMBERS`` of them."""
+    pairs = cut(pairs)
+    copies = pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
+    copies = cut(copies)
+    a = texts.select("node", F.col("_text").alias("a"))
+    b = texts.select(F.col("node").alias("leader"), F.col("_text").alias("b")).join(copies, "leader").select("leader", "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = pairs.join(copies, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"))
+    both = dealt.join(a, "node").join(b, ["leader", "copy"]).select("node", "leader", "a", "b")
+    out = cut(both.mapInArrow(_similar(k, threshold), "node binary, leader binary"))
+    drop_cut(pairs, copies)
+    return out
 
 
 def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,6 +272,8 @@ def _similar_classes(k: int, threshold: float):
                 ok = both >= threshold * (n[a] + n[b] - both)
                 root = _united(root, cls[a[ok]], cls[b[ok]])
         joined = np.flatnonzero(root != np.arange(len(root)))
+        del parts, e, d, order, code
+        tidy()
         return pa.table({"node": labels.dictionary.take(pa.array(joined)), "leader": labels.dictionary.take(pa.array(root[joined]))})
 
     return run
@@ -268,6 +289,7 @@ def _left_apart(met: DataFrame, label: DataFrame, texts: DataFrame, k: int, thre
     load = cut(home.groupBy("home").agg(F.sum("n").alias("load")))
     total = load.agg(F.sum("load")).first()[0]
     if not total:
+        drop_cut(rows, load)
         return None
     piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("load") / BLOCK))
     lives = cut(home.join(load, "home").select("node", "n", "label", F.pmod(F.xxhash64("home", piece), F.lit(total // BLOCK + 1)).alias("block")))
@@ -276,47 +298,54 @@ def _left_apart(met: DataFrame, label: DataFrame, texts: DataFrame, k: int, thre
     # of two that are not of the main class one visits the other
     goes = (F.col("to") != F.col("block")) & (F.col("has_main") | (F.col("to") < F.col("block")))
     guests = there.filter("NOT main").join(blocks, "key").filter(goes).select("node", "n", "label", F.col("to").alias("block")).distinct()
-    guests = cut(guests)
+    guests = visitors = cut(guests)
     chunks = guests.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK).alias("chunks"))
     nth = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1))
     residents = lives.join(chunks, "block", "left").select("node", "label", "block", nth.alias("chunk"), F.lit(False).alias("visits"))
     guests = guests.join(chunks, "block").select("node", "label", "block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(True).alias("visits"))
     both = residents.unionByName(guests).join(texts, "node").select("block", "chunk", "label", "visits", "_text")
-    return cut(both.groupBy("block", "chunk").applyInArrow(_similar_classes(k, threshold), "node binary, leader binary"))
+    out = cut(both.groupBy("block", "chunk").applyInArrow(_similar_classes(k, threshold), "node binary, leader binary"))
+    drop_cut(rows, load, lives, there, visitors)
+    return out
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: its id, and the smallest id of its class."""
     arrow_session(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"), F.col(text_col).alias("_text"))
+    src = docs.select(column(id_col).alias("id"), text_node(text_col).alias("node"), column(text_col).alias("_text"))
     signed = cut(src.mapInArrow(_signed(k), f"id {kind}, node binary, n long, bands array<long>"))
     nodes = signed.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     member = nodes.select("node", "rep", "n", F.explode("bands").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = cut(member.join(sizes, "key"))
+    own = cut(signed.select("id", "node"))
+    drop_cut(signed)
 
     # one text for each node that shares a bucket
     asked = met.select("node", "rep").distinct()
     texts = src.join(asked.hint("shuffle_hash"), (src["node"] == asked["node"]) & src["id"].eqNullSafe(asked["rep"])).select(src["node"], "_text")
     texts = cut(texts)
-    if not signed.groupBy("id").count().filter("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["node"])
+    repeated = not own.groupBy("id").count().filter("count > 1").isEmpty()
+    one_each = texts.dropDuplicates(["node"]) if repeated else texts
     # the node that shares most buckets with most nodes leads: an original rather than one of its copies
     central = met.groupBy("node").agg(F.sum("size").alias("order"))
     ranked = met.select("key", "node", "n").join(central, "node")
     first = ranked.groupBy("key").agg(F.max(F.struct("order", "node", "n"))["node"].alias("leader"), F.max(F.struct("order", "node", "n"))["n"].alias("m"))
     fits = (F.col("node") != F.col("leader")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold)
-    edges = _verified(ranked.join(first, "key").filter(fits).select("node", "leader").distinct(), texts, k, threshold)
+    edges = _verified(ranked.join(first, "key").filter(fits).select("node", "leader").distinct(), one_each, k, threshold)
     label = _components(edges)
-    more = _left_apart(met, label, texts, k, threshold)
+    more = _left_apart(met, label, one_each, k, threshold)
+    drop_cut(met, texts)
     if more is not None:
+        drop_cut(label)
         label = _components(edges.unionByName(more))
-    reps = signed.groupBy("node").agg(F.min("id").alias("rep"))
-    named = reps.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        drop_cut(more)
+    drop_cut(edges)
+    named = own.groupBy("node").agg(F.min("id").alias("rep")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = named.join(classes, "label").select("node", "class_id")
-    return signed.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "class_id")
+    return own.join(named, "node").select(F.col("id").alias(id_col), "class_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -325,7 +354,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows with the same id (null included) that stay, one is kept for each text.
     """
     names = docs.columns
-    rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    rows = numbered(docs)
     own, text = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
     classes = near_duplicate_classes(rows.select(own, text), own, text, k, threshold)
     keep = classes.filter(F.col(own).eqNullSafe(F.col("class_id"))).select(F.col(own).alias("_keep")).distinct()

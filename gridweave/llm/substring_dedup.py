@@ -15,7 +15,9 @@ any bucket.
 
 Defined results: a null text has no words; a text shorter than the window
 loses nothing; repeated rows are separate documents, so each is a copy of the
-other; a null id is an id like any other.  Other columns are not touched.
+other; a null id is an id like any other; an empty table gives no rows; a very
+long text is cut into super-k-mers whole, in a chunk of its own.  Other
+columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -29,14 +31,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, U, arrow_session, chunks, input_bytes, mix64, rolling, text_bytes, word_hashes, word_spans
+from ._common import SPACE, U, arrow_session, chunks, column, input_bytes, mix64, numbered, rolling, text_bytes, tidy, word_hashes, word_spans
 
 #: Words of a minimiser.
 MINIMISER = 4
 #: Text bytes that are cut into super-k-mers at once.
-MAP_BYTES = 8 << 20
+MAP_BYTES = 2 << 20
 #: Packed bytes that a bucket should hold.
 BUCKET_BYTES = 4 << 20
+#: Text bytes of a task of the join with what repeats.
+JOIN_BYTES = 64 << 20
+#: Buckets that a task works through, one after the other.
+BUCKETS_AT_ONCE = 8
 #: Packed bytes for each byte of text, about: (windows + window - 1) / windows.
 OVERLAP = 3
 
@@ -46,7 +52,7 @@ _PACK = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("count", "<i4
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Two longs that tell documents apart, a null id and repeated ids included."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.col(text_col)).alias("k2")]
+    return [F.coalesce(column(id_col).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(column(text_col)).alias("k2")]
 
 
 def _least(h: np.ndarray, span: int) -> np.ndarray:
@@ -102,6 +108,9 @@ def _map(window: int, buckets: int):
                 out = _pack(part, offsets[i : j + 1] - offsets[i], k1[i:j], k2[i:j], window, buckets, squeeze)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
+                del out, part
+            del data
+        tidy()
 
     return run
 
@@ -174,6 +183,8 @@ def _count(window: int):
         if len(pack):
             found = _repeats(pack, flat, window)
             out = np.concatenate([out, found]) if len(found) else out
+        del packs, runs, pack, flat
+        tidy()
         return pa.table({f: pa.array(out[f]) for f in _RUN.names})
 
     return run
@@ -237,11 +248,13 @@ def _repeats(pack: np.ndarray, flat: bytes, window: int) -> np.ndarray:
 def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of window starts whose words also start elsewhere: (k1, k2, start, count)."""
     spark = arrow_session(docs.sparkSession)
-    src = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    src = docs.select(*row_key(id_col, text_col), column(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # an upper estimate of the bytes; columnar files are smaller than their texts
-    buckets = max(8 * parts, 2 * input_bytes(src) * OVERLAP // BUCKET_BYTES)
+    buckets = max(BUCKETS_AT_ONCE * parts, 2 * input_bytes(src) * OVERLAP // BUCKET_BYTES)
     packed = src.mapInArrow(_map(window, buckets), "bucket long, blob binary")
+    # as many tasks as the buckets ask for, so that what a task reads does not grow with the table
+    packed = packed.repartition(int(buckets // BUCKETS_AT_ONCE), "bucket")
     return packed.groupBy("bucket").applyInArrow(_count(window), "k1 long, k2 long, start int, count int")
 
 
@@ -277,6 +290,7 @@ def _remove(window: int, texts: bool, keep: list[str]):
             cols = [batch.column(c) for c in keep] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
             cols.append(pa.array(kept_text, pa.string()) if texts else pa.array(sha, pa.string()))
             yield pa.RecordBatch.from_arrays(cols, [*keep, "n_words", "n_removed", "kept_text" if texts else "kept_sha256"])
+        tidy()
 
     return run
 
@@ -284,16 +298,21 @@ def _remove(window: int, texts: bool, keep: list[str]):
 def _with_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     runs = repeated_windows(docs, window, id_col, text_col).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "count")).alias("_runs"))
     k1, k2 = row_key(id_col, text_col)
-    left = docs.withColumn("_k1", k1).withColumn("_k2", k2)
+    spark = docs.sparkSession
+    # the smaller side is hashed in memory: so many tasks that a task's share of it is bounded
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * input_bytes(docs) // JOIN_BYTES)
+    left = docs.withColumn("_k1", k1).withColumn("_k2", k2).repartition(int(parts), "_k1", "_k2")
     runs = runs.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_runs")
     return left.join(runs.hint("shuffle_hash"), ["_k1", "_k2"], "left")
 
 
 def removal_report(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256."""
-    joined = _with_runs(docs.select(id_col, text_col), window, id_col, text_col).select(id_col, F.col(text_col).alias("_text"), "_runs")
+    src = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text"))
+    joined = _with_runs(src, window, "_id", "_text").select("_id", "_text", "_runs")
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_remove(window, False, [id_col]), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
+    out = joined.mapInArrow(_remove(window, False, ["_id"]), f"_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return out.toDF(id_col, *out.columns[1:])
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,7 +321,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     ``n_chars`` follows the text where there is such a column.
     """
     names = docs.columns
-    renamed = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    renamed = numbered(docs)
     i, t = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
     joined = _with_runs(renamed, window, i, t).select(*renamed.columns, F.col(t).alias("_text"), "_runs")
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(renamed.columns, docs.schema.fields, strict=True))
