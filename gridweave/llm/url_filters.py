@@ -113,14 +113,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     has (kind, src, dst, share), share being the part of the source's mass that
     an edge carries.
     """
+    # one more row for each host, without a share: what it has got stays with it
+    own = edges.select("kind", F.col("src").alias("h")).union(edges.select("kind", "dst")).union(seeds.select("kind", "host")).distinct()
+    ways = cut(edges.unionByName(own.select("kind", F.col("h").alias("src"), F.col("h").alias("dst"), F.lit(None).cast("double").alias("share"))))
     flow = cut(seeds.select("kind", "host", F.col("s").alias("moving"), F.col("s").alias("mass")))
     while True:
         before = flow
         for _ in range(CUT_EVERY):
-            moved = flow.filter("moving > 0").select("kind", F.col("host").alias("src"), "moving").join(edges, ["kind", "src"])
-            moved = moved.select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("moving") * F.col("share")).alias("moving"))
-            stays = flow.select("kind", "host", F.lit(0.0).alias("moving"), "mass")
-            flow = stays.unionByName(moved.withColumn("mass", F.col("moving"))).groupBy("kind", "host").agg(F.sum("moving").alias("moving"), F.sum("mass").alias("mass"))
+            sent = F.col("moving") * F.col("share") * damping
+            moved = flow.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), F.coalesce(sent, F.lit(0.0)).alias("moving"), F.coalesce(sent, "mass").alias("mass"),
+            )
+            flow = moved.groupBy("kind", "host").agg(F.sum("moving").alias("moving"), F.sum("mass").alias("mass"))
         flow = cut(flow)
         drop_cut(before)
         # what is on its way goes on for 1 / (1 - damping) of itself at most
