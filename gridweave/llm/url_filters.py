@@ -48,6 +48,8 @@ DAMPING = 0.85
 TOLERANCE = 1e-5
 #: Steps after which the lineage is cut and the residual looked at.
 CUT_EVERY = 6
+#: Ways into which the pages of one host are dealt.
+SALTS = 32
 #: Labels from which a host is a site even if it has no page of its own.
 SITE_LABELS = 3
 #: Share of the mean mass of a host from which distrust counts.
@@ -163,7 +165,9 @@ def judge_pages(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = named.withColumns({"rule": name, "by_rule": verdict})
     hosts = host_verdicts(pages, judged)
-    out = judged.join(hosts, "host", "left")
+    # a third of all pages may be of one host
+    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = judged.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(hosts, ["host", "salt"], "left")
     by_host = F.when(F.coalesce("host_blocked", F.lit(False)), "block").otherwise("allow")
     measures = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust", "residual")]
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), *measures)
