@@ -69,7 +69,8 @@ def _out(g: Grid | DataFrame | float | bool | list | tuple, spark: SparkSession)
     elif isinstance(g, (list, tuple)):
         g = spark.createDataFrame([tuple(float(c) for c in g)], ", ".join(f"c{i} double" for i in range(len(g))))
     df = g.df.select("z", "y", "x", "v") if isinstance(g, Grid) else g
-    return df.select(*((F.round(c, 5) + 0.0).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes))
+    named = [(F.col(f"`{c}`"), c, t) for c, t in df.dtypes]  # names may hold dots
+    return df.select(*((F.round(c, 5) + 0.0).alias(n) if t in ("double", "float") else c.cast("long").alias(n) if t in ("int", "bigint") else c for c, n, t in named))
 
 
 def add(name: str, fn: Callable[..., object], grids: str = "", sql: str | None = None) -> None:
@@ -341,7 +342,8 @@ add("binary_erode", A.binary_erode, "B", near("B", _B1, "min(b.v)"))
 add("binary_opening", A.binary_opening, "B", chain("B", [_MN, _MX]))
 add("binary_closing", A.binary_closing, "B", chain("B", [_MX, _MN]))
 _LN = [[(0, -a, -b), (0, 0, 0), (0, a, b)] for a, b in ((0, 1), (1, 0), (1, 1), (1, -1))]
-_PART = {k: ", ".join(f"{f}(b.v) FILTER (WHERE (o.dy, o.dx) IN ({', '.join(str(o[1:]) for o in g)}))" for g in _LN) for k, f in (("lo", "min"), ("hi", "max"))}
+_AT = "CASE WHEN a.y + o.dy BETWEEN 0 AND 63 AND a.x + o.dx BETWEEN 0 AND 30 THEN b.v ELSE 0 END"  # 0 outside
+_PART = {k: ", ".join(f"{f}({_AT}) FILTER (WHERE (o.dy, o.dx) IN ({', '.join(str(o[1:]) for o in g)}))" for g in _LN) for k, f in (("lo", "min"), ("hi", "max"))}
 add("binary_supinf", A.binary_supinf, "B", near("B", _B1, f"greatest({_PART['lo']})"))
 add("binary_infsup", A.binary_infsup, "B", near("B", _B1, f"least({_PART['hi']})"))
 add("binary_edge_detection", A.binary_edge_detection, "B", near("B", _B1, "CASE WHEN a.v <> 0 AND min(b.v) = 0 THEN 1.0 ELSE 0.0 END"))
@@ -525,15 +527,19 @@ add("labels_neighbors_statistics", lambda g: A.labels_neighbors_statistics(g, (1
 add("affine_transform", lambda g: A.affine_transform(g, [1, 0, 3, 0, 1, -2, 0, 0, 1]), "H", vox("coalesce(s.v, 0)", "(SELECT H.z, H.y, H.x, coalesce(b.v, 0) AS v FROM H LEFT JOIN H b ON b.x = H.x - 3 AND b.y = H.y + 2) s").replace("SELECT CAST(z", "SELECT CAST(s.z").replace("CAST(y", "CAST(s.y").replace("CAST(x", "CAST(s.x"))
 add("translate", lambda g: A.translate(g, 3, -2, 0), "H", SQL["affine_transform"].removeprefix(f"WITH {_ALL}\n"))
 add("scale", lambda g: A.scale(g, 1, 2, 1), "H", moved("z", "y", "x", "(SELECT H.z, H.y, H.x, b.v FROM H JOIN H b ON b.x = H.x AND b.y = CAST(floor((H.y + 0.5 - 32) / 2 + 32) AS INT))"))
-add("rotate", lambda g: A.rotate(A.crop(g, 0, 0, 0, 31, 31, 1), 0, 0, 90), "H", moved("z", "x", "30 - y", "H", "WHERE y < 31"))
-add("rigid_transform", lambda g: A.rigid_transform(A.crop(g, 0, 0, 0, 31, 31, 1), 0, 0, 0, 0, 0, 180), "H", moved("z", "30 - y", "30 - x", "H", "WHERE y < 31"))
-add("deskew_x", lambda g: A.deskew_x(A.crop(g, 0, 0, 0, 16, 8, 8)), "Q")
-add("deskew_y", lambda g: A.deskew_y(A.crop(g, 0, 0, 0, 16, 8, 8)), "Q")
+add("rotate", lambda g: A.rotate(g, 0, 0, 90), "H", vox("v", "(SELECT H.z, H.y, H.x, coalesce(b.v, 0) AS v FROM H LEFT JOIN H b ON b.x = H.y - 16 AND b.y = 47 - H.x)"))
+add("rigid_transform", lambda g: A.rigid_transform(g, 0, 0, 0, 0, 0, 180), "H", moved("z", "63 - y", "30 - x", "H"))
+add("deskew_x", A.deskew_x, "Q")
+add("deskew_y", A.deskew_y, "Q")
 add("make_isotropic", lambda g: A.make_isotropic(g, 1, 2, 1, -1, False), "H", moved("a.z", "2 * a.y + k.i", "a.x", "H a CROSS JOIN range(2) k(i)", v="a.v"))
 add("make_anisotropic", lambda g: A.make_anisotropic(g, 2, 2, 1, 2, False), "H", moved("a.z", "2 * a.y + k.i", "a.x", "H a CROSS JOIN range(2) k(i)", v="a.v"))
 add("fft", A.fft, "H")
 add("ifft", lambda g: A.ifft(A.fft(g), HS), "H", vox("v"))
-add("convolve_fft", lambda g: A.convolve_fft(g, _K), "H", near("H", [(0, -o[1], -o[2], o[3]) for o in _KO], "sum(o.w * b.v)", _INSIDE))
+add("convolve_fft", lambda g: A.convolve_fft(g, _K), "H", 
+    "SELECT CAST(a.z AS BIGINT) AS z, CAST(a.y AS BIGINT) AS y, CAST(a.x AS BIGINT) AS x, round(sum(o.w * coalesce(b.v, 0)), 5) + 0.0 AS v "
+    f"FROM H a CROSS JOIN (VALUES {', '.join(f'({i}, {j}, {float(w)!r}::DOUBLE)' for (i, j), w in np.ndenumerate(_K))}) o(i, j, w) "
+    # 64 rows and 31 columns behind one of zeros, both round
+    "LEFT JOIN H b ON b.y = (a.y - o.i + 64) % 64 AND b.x = (a.x + 1 - o.j + 32) % 32 - 1 GROUP BY a.z, a.y, a.x")
 add("deconvolve_fft", lambda g: A.deconvolve_fft(g, np.ones((3, 3)) / 9, None, 5), "H")
 
 

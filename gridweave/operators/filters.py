@@ -338,7 +338,7 @@ def large_hessian_eigenvalue(src: Grid) -> Grid:
 
 
 def hessian_gaussian_eigenvalues(src: Grid, sigma: float = 1) -> list[Grid]:
-    """Eigenvalues of the Hessian of two Gaussian derivatives of sigma / sqrt(2) each."""
+    """Large, (middle,) small eigenvalue of the Hessian of two Gaussian derivatives of sigma / sqrt(2) each."""
     s = sigma / math.sqrt(2)
     axes = [a for a, _, _ in long_axes(src, (1, 1, 1))]
     r = int(8 * s + 0.5)
@@ -354,14 +354,14 @@ def hessian_gaussian_eigenvalues(src: Grid, sigma: float = 1) -> list[Grid]:
     for axis in axes:
         for n in names:
             df = weighted(df, axis, taps[n.count(axis)].tolist(), n)
-    return _solved(df, src.shape) if len(axes) == 3 else _two(df, src.shape, F.col("xx"), F.col("yy"), F.col("xy"))
+    return (_solved(df, src.shape) if len(axes) == 3 else _two(df, src.shape, F.col("xx"), F.col("yy"), F.col("xy")))[::-1]
 
 
 def sato_filter(src: Grid, sigma_minimum: float = 1, sigma_maximum: float = 3, sigma_step: float = 1) -> Grid:
     """Largest scaled response of negative eigenvalues over the sigmas below the maximum."""
     out, sigma = None, sigma_minimum
     while sigma < sigma_maximum:
-        e = hessian_gaussian_eigenvalues(src, sigma)
+        e = hessian_gaussian_eigenvalues(src, sigma)[::-1]
         low = [F.least(F.col(c), F.lit(0.0)) for c in ("v", "w")]
         if src.shape[2] > 1:
             one = binary.apply(e[1], e[0], F.sqrt(low[0] * low[1]) * sigma**2, FLOAT)
@@ -510,7 +510,8 @@ def _planar(src: Grid, inner, outer) -> Grid:
         b = (b != 0).astype(float)
         return outer([inner(shifts(b, radius, g)) for g in keep])
 
-    return stencil(src, radius, fn, BINARY)
+    # fixed rule: snakes see 0 outside the grid
+    return stencil(src, radius, fn, BINARY, outside=0.0)
 
 
 def _lowest(parts: list[np.ndarray]) -> np.ndarray:

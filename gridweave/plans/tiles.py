@@ -2,7 +2,8 @@
 
 A voxel is sent to each tile whose halo holds it, so there is one shuffle and
 only voxels near tile borders travel twice.  A tile's size bounds what a task
-holds, whatever the size of the grid.  Outside the grid the edge is repeated.
+holds, whatever the size of the grid.  Outside the grid the edge is repeated,
+or there is one value.
 """
 
 from collections.abc import Callable
@@ -17,7 +18,7 @@ from gridweave.grid import AXES, FLOAT, Grid
 TILE = (64, 64, 16)
 
 
-def stencil(src: Grid, radius: tuple[int, int, int], fn: Callable[[np.ndarray], np.ndarray], dtype: str | None = None, tile: tuple[int, int, int] = TILE) -> Grid:
+def stencil(src: Grid, radius: tuple[int, int, int], fn: Callable[[np.ndarray], np.ndarray], dtype: str | None = None, tile: tuple[int, int, int] = TILE, outside: float | None = None) -> Grid:
     """``fn`` gets a block [z, y, x] with ``radius`` more voxels at each end and returns the inner block."""
     r = tuple(min(k, n) if n > 1 else 0 for k, n in zip(radius, src.shape, strict=True))
     t = tuple(min(a, n) for a, n in zip(tile, src.shape, strict=True))
@@ -41,7 +42,7 @@ def stencil(src: Grid, radius: tuple[int, int, int], fn: Callable[[np.ndarray],
         box = np.zeros([h - b for b, h in zip(lo, hi, strict=True)])
         box[pdf["z"].to_numpy() - lo[0], pdf["y"].to_numpy() - lo[1], pdf["x"].to_numpy() - lo[2]] = pdf["v"].to_numpy()
         widths = [(k - (b - o), k - (h - e)) if n > 1 else (0, 0) for k, b, e, o, h, n in zip(full, begin, end, lo, hi, shape, strict=True)]
-        out = fn(np.pad(box, widths, mode="edge"))
+        out = fn(np.pad(box, widths, mode="edge") if outside is None else np.pad(box, widths, constant_values=outside))
         z, y, x = np.indices(out.shape).reshape(3, -1)
         return pd.DataFrame({"z": (z + begin[0]).astype(np.int32), "y": (y + begin[1]).astype(np.int32), "x": (x + begin[2]).astype(np.int32), "v": out.ravel().astype(float)})
 

@@ -134,6 +134,129 @@ def test_spectra(grid):
     assert np.argwhere(plane(A.convolve_fft(grid(IMPULSE), k)) > 0.5).tolist() == [[2, 3]]
 
 
+# The image, and the contours after twenty steps without and with smoothing, a digit for each voxel.
+CONTOUR_IMAGE = """
+00000000000000
+00000000000000
+00000000000000
+00000055000000
+00005577500000
+00005799750000
+00005799750000
+00005799700000
+00005799500000
+00000577500000
+00000055000000
+00000000000000
+00000000000000
+00000000000000
+"""
+CONTOUR_PLAIN = """
+11111111111111
+11111111111111
+11111111111111
+11111100111111
+11110000011111
+11110000001111
+11110000001111
+11110000011111
+11110000011111
+11111000011111
+11111100111111
+11111111111111
+11111111111111
+11111111111111
+"""
+CONTOUR_SMOOTH = """
+00111111111100
+01111111111110
+11111111111111
+11111101111111
+11111000011111
+11110000011111
+11110000001111
+11110000011111
+11111000011111
+11111000111111
+11111111111111
+11111111111111
+01111111111110
+00111111111100
+"""
+
+
+def digits(text):
+    return [[int(c) for c in row] for row in text.split()]
+
+
+@pytest.mark.parametrize(("smoothing", "want"), [(0, CONTOUR_PLAIN), (1, CONTOUR_SMOOTH)])
+def test_contours(grid, smoothing, want):
+    assert plane(A.morphological_chan_vese(grid(digits(CONTOUR_IMAGE)), 20, smoothing)).tolist() == digits(want)
+
+
+def test_kernel_origin_of_spectra(grid):
+    one, two = np.zeros((3, 3)), np.zeros((3, 3))
+    one[1, 1] = 1
+    two[1, 1:] = 1, 2
+    kernel = np.zeros((3, 3))
+    kernel[0, :2] = 1, 2
+    assert np.allclose(plane(A.convolve_fft(grid(one), np.array([[1, 2]]))), two, atol=1e-6)
+    peak = plane(A.deconvolve_fft(grid(two), kernel, None, 100))
+    assert np.allclose(peak, 3 * one, atol=0.1)
+    with pytest.raises(ValueError):
+        A.convolve_fft(grid(one), np.ones((4, 1)))
+
+
+def test_hessian_eigenvalues_are_large_first(grid):
+    line = np.zeros((11, 11))
+    line[5, 3:8] = 1
+    large, small = (plane(g) for g in A.hessian_gaussian_eigenvalues(grid(line), 2))
+    assert (large >= small).all() and small[5, 5] < 0
+    assert plane(A.sato_filter(grid(line), 1, 3, 1))[5, 5] == plane(A.sato_filter(grid(line), 1, 3, 1)).max()
+
+
+NESTED = np.array([[1, 1, 2, 2, 3, 3, 3, 3]] * 2 + [[1, 1, 7, 7, 7, 7, 3, 3]] * 2 + [[6, 6, 7, 7, 7, 7, 4, 4]] * 2 + [[5, 5, 5, 5, 5, 5, 4, 4]] * 2)
+
+
+def test_neighbour_statistics(grid):
+    out = A.labels_neighbors_statistics(grid(np.kron(NESTED, np.ones((10, 10))), "UINT32"), (20, 40), (1, 2, 3, 4, 5, 6), ())
+    rows = {r["label"]: r.asDict() for r in out.collect()}
+    want = {
+        "touching_neighbor_count": 6, "maximum_distance_of_touching_neighbors": 36.055511, "average_distance_of_touching_neighbors": 33.329613,
+        "minimum_distance_of_touching_neighbors": 31.622776, "proximal_neighbor_count_d20": 0, "proximal_neighbor_count_d40": 6,
+        "maximum_distance_of_n1_nearest_neighbors": 31.622776, "maximum_distance_of_n4_nearest_neighbors": 32.998318, "maximum_distance_of_n6_nearest_neighbors": 36.055511,
+        "touch_count_sum": 160, "minimum_touch_count": 20, "maximum_touch_count": 40, "minimum_touch_portion": 0.125, "maximum_touch_portion": 0.25,
+        "touch_portion_above_0.000000_neighbor_count": 6,
+    }
+    for name, value in want.items():
+        assert rows[7][name] == pytest.approx(value, abs=1e-3), name
+    assert max(r["maximum_distance_of_touching_neighbors"] for r in rows.values()) == pytest.approx(43.843155, abs=1e-3)
+
+
+@pytest.mark.parametrize("axis", [0, 1])
+def test_deskew_reads_between_voxels(spark, axis):
+    """Each voxel of the result is the linear blend of the voxels round its place before the transform."""
+    from gridweave.operators.transforms import AffineTransform, resized
+    from gridweave.sources import from_numpy
+
+    a = np.random.default_rng(axis).random((6, 5, 7))
+    g = from_numpy(spark, a)
+    t = AffineTransform().deskew(axis, 30, (1.0, 1.0, 1.0), 1.0)
+    got = to_numpy((A.deskew_x, A.deskew_y)[axis](g, 30, 1, 1, 1, 1))
+    size, moved = resized(g.shape, t)
+    assert got.shape == size[::-1]
+    inv, want = moved.inverse, np.zeros(got.shape)
+    for z, y, x in np.ndindex(want.shape):
+        p = (inv @ np.array([x + 0.5, y + 0.5, z + 0.5, 1]))[:3] - 0.5
+        lo = np.floor(p + 1e-9).astype(int)
+        f = p - lo
+        for o in np.ndindex(2, 2, 2):
+            i, j, k = lo + o
+            if 0 <= i < 7 and 0 <= j < 5 and 0 <= k < 6:
+                want[z, y, x] += a[k, j, i] * np.prod(np.where(o, f, 1 - f))
+    assert np.allclose(got, want, atol=1e-6)
+
+
 def test_evaluate(grid):
     assert plane(A.evaluate("a > 2 ? a * b : pow(a, 2)", [grid([[1, 2, 3]]), 3.0]))[0].tolist() == [1, 4, 9]
     with pytest.raises(ValueError):
