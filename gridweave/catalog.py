@@ -275,11 +275,12 @@ def separable(wx: list[float], wy: list[float], g: str = "H") -> str:
 
 def _gauss(s: float, order: int = 0, derivative: bool = False) -> list[float]:
     n = int(8 * s)
-    r = int(8 * s + 0.5) if derivative else (n + 1 - n % 2) // 2
+    r = (int(8 * s + 0.5) - 1) // 2 if derivative else (n + 1 - n % 2) // 2
     x = np.arange(-r, r + 1)
     g = np.exp(-(x**2) / (2 * s * s))
-    g /= g.sum()
-    return (x / s**2 * g if order == 1 else g).tolist()
+    if order == 1:
+        g *= x / s**2
+    return (g / (g.sum() if order == 0 else 1 + np.abs(g).sum())).tolist()
 
 
 add("gaussian_blur", lambda g: A.gaussian_blur(g, 1, 1, 1), "H", separable(_gauss(1), _gauss(1)))
@@ -304,9 +305,28 @@ _XY = "sum(o.dx * o.dy * b.v) / 4"
 for _n, _o in (("small_hessian_eigenvalue", "-"), ("large_hessian_eigenvalue", "+")):
     add(_n, A.OPERATORS[_n], "H", near("H", _B1, f"({_XX} + {_YY}) / 2 {_o} sqrt(pow(({_XX} - {_YY}) / 2, 2) + pow({_XY}, 2))"))
 add("hessian_eigenvalues", lambda g: A.hessian_eigenvalues(g)[0], "H", SQL["small_hessian_eigenvalue"].split("\n", _ALL.count("\n") + 1)[-1])
-add("hessian_gaussian_eigenvalues", lambda g: A.hessian_gaussian_eigenvalues(g, 1)[0], "H")
-add("sato_filter", lambda g: A.sato_filter(g, 1, 3, 1), "H")
-add("tubeness", lambda g: A.tubeness(g, 1), "H")
+
+
+def _hessian(sigma: float) -> str:
+    """SQL of (z, y, x, mean, gap) of the Hessian's eigenvalues: a slope is a slope along one axis, smooth along the other."""
+    s = sigma / 2**0.5
+    slope, smooth = np.array(_gauss(s, 1, True)), np.array(_gauss(s, 0, True))
+    taps = [np.convolve(a, b).tolist() for a, b in ((smooth, smooth), (slope, smooth), (slope, slope))]
+    part = {n: separable(taps[n.count("x")], taps[n.count("y")]).replace("round(sum(o.w * b.v), 5) + 0.0", "sum(o.w * b.v)") for n in ("xx", "yy", "xy")}
+    return (
+        "SELECT p.z, p.y, p.x, (p.v + q.v) / 2 AS mean, sqrt(pow((p.v - q.v) / 2, 2) + r.v * r.v) AS gap "
+        f"FROM ({part['xx']}) p JOIN ({part['yy']}) q USING (z, y, x) JOIN ({part['xy']}) r USING (z, y, x)"
+    )
+
+
+def _sato(*sigmas: float) -> str:
+    parts = " UNION ALL ".join(f"SELECT z, y, x, greatest(gap - mean, 0) * {s * s} AS v FROM ({_hessian(s)})" for s in sigmas)
+    return f"SELECT z, y, x, round(max(v), 5) + 0.0 AS v FROM ({parts}) GROUP BY z, y, x"
+
+
+add("hessian_gaussian_eigenvalues", lambda g: A.hessian_gaussian_eigenvalues(g, 1)[0], "H", f"SELECT z, y, x, round(mean + gap, 5) + 0.0 AS v FROM ({_hessian(1)})")
+add("sato_filter", lambda g: A.sato_filter(g, 1, 3, 1), "H", _sato(1, 2))
+add("tubeness", lambda g: A.tubeness(g, 1), "H", _sato(1))
 
 
 def chain(g: str, steps: list[tuple[list, str]], last: str = "c.v") -> str:

@@ -138,22 +138,30 @@ def standard_deviation(src: Grid, radius_x: float = 1, radius_y: float = 1, radi
     return variance_filter(src, radius_x, radius_y, radius_z, connectivity).map(F.sqrt("v"))
 
 
-def gaussian_weights(sigma: float, order: int = 0) -> list[float]:
-    """Normalised taps of a Gaussian, or of its derivative."""
-    if order == 0:
-        n = int(8 * sigma)
-        n += 1 - n % 2
-        r = n // 2
-    else:
-        r = int(8 * sigma + 0.5)
+def gaussian_weights(sigma: float) -> list[float]:
+    """Normalised taps of a Gaussian."""
+    n = int(8 * sigma)
+    r = (n + 1 - n % 2) // 2
     x = np.arange(-r, r + 1)
     g = np.exp(-(x**2) / (2 * sigma * sigma))
-    g /= g.sum()
+    return (g / g.sum()).tolist()
+
+
+def derivative_weights(sigma: float, order: int) -> list[float]:
+    """Taps of a Gaussian (order 0) or of its first or second derivative.
+
+    Fixed rules: taps reach to ``(int(8 sigma + 0.5) - 1) // 2``; a smooth one
+    is divided by its sum, a slope by 1 more than the sum of its magnitudes.
+    """
+    r = max(1, (int(8 * sigma + 0.5) - 1) // 2)
+    x = np.arange(-r, r + 1)
+    g = np.exp(-(x**2) / (2 * sigma * sigma))
+    if order == 0:
+        return (g / g.sum()).tolist()
     if order == 1:
-        g = x / sigma**2 * g
-    elif order == 2:
-        g = (x**2 / sigma**4 - 1 / sigma**2) * g
-    return g.tolist()
+        slope = x / sigma**2 * g
+        return (slope / (1 + np.abs(slope).sum())).tolist()
+    return ((x**2 / sigma**4 - 1 / sigma**2) * g / g.sum()).tolist()
 
 
 def weighted(df: DataFrame, axis: str, weights: list[float], c: str = "v") -> DataFrame:
@@ -181,11 +189,7 @@ def gaussian_derivative(src: Grid, sigma_x: float = 0, sigma_y: float = 0, sigma
     df = src.df
     for axis, s, o, n in zip(AXES, (sigma_x, sigma_y, sigma_z), (order_x, order_y, order_z), src.shape, strict=True):
         if n > 1 and s > 0:
-            r = int(8 * s + 0.5)
-            x = np.arange(-r, r + 1)
-            g = np.exp(-(x**2) / (2 * s * s))
-            g = (g / g.sum()).tolist()
-            df = weighted(df, axis, gaussian_weights(s, min(o, 2)) if o else g)
+            df = weighted(df, axis, derivative_weights(s, min(o, 2)))
     return Grid(df, src.shape, FLOAT)
 
 
@@ -341,12 +345,8 @@ def hessian_gaussian_eigenvalues(src: Grid, sigma: float = 1) -> list[Grid]:
     """Large, (middle,) small eigenvalue of the Hessian of two Gaussian derivatives of sigma / sqrt(2) each."""
     s = sigma / math.sqrt(2)
     axes = [a for a, _, _ in long_axes(src, (1, 1, 1))]
-    r = int(8 * s + 0.5)
-    x = np.arange(-r, r + 1)
-    g = np.exp(-(x**2) / (2 * s * s))
-    smooth = g / g.sum()
-    slope = x / s**2 * smooth
-    # of a point: twice the slope, slope then smooth, twice smooth; cut to 2r+1 taps as one kernel
+    smooth, slope = (np.pad(np.array(w), len(w) // 2) for w in (derivative_weights(s, 0), derivative_weights(s, 1)))
+    # of a point: twice the slope, slope then smooth, twice smooth
     taps = {2: np.convolve(slope, slope, "same"), 1: np.convolve(slope, smooth, "same"), 0: np.convolve(smooth, smooth, "same")}
     df = src.df
     names = [a + b for i, a in enumerate(axes) for b in axes[i:]]

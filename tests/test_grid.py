@@ -207,12 +207,36 @@ def test_kernel_origin_of_spectra(grid):
         A.convolve_fft(grid(one), np.ones((4, 1)))
 
 
-def test_hessian_eigenvalues_are_large_first(grid):
+# A quarter of the large eigenvalue, and of the response of two sigmas, of a line of five voxels in 11 x 11.
+HESSIAN_2 = """
+2.80377432e-03 5.15507488e-03 8.01434834e-03 1.07877254e-02 1.28035750e-02 1.35410940e-02
+6.33742381e-03 1.08882710e-02 1.57999620e-02 2.00331286e-02 2.28355490e-02 2.38104817e-02
+1.09319249e-02 1.68837775e-02 2.15000007e-02 2.36747041e-02 2.39554476e-02 2.37844288e-02
+1.47780655e-02 1.94353256e-02 1.88947730e-02 1.27731506e-02 4.42769844e-03 2.56299973e-06
+1.66362859e-02 1.80286150e-02 1.01901442e-02 -5.19440044e-03 -2.14566216e-02 -3.01977620e-02
+1.70330275e-02 1.66780371e-02 5.62216528e-03 -1.25080058e-02 -2.82402784e-02 -3.42185497e-02
+"""
+SATO_1_2 = """
+0.0011887 0.00242649 0.00393715 0.00519269 0.00584239 0.00600314
+0.00375564 0.00768017 0.01244524 0.01629806 0.01813266 0.01851889
+0.00924682 0.01906006 0.03103951 0.04041484 0.04409751 0.0444351
+0.01778684 0.03727557 0.06193392 0.08143086 0.08621543 0.08301813
+0.02657181 0.05695897 0.09860913 0.13834752 0.15796456 0.1550932
+0.03044875 0.06605215 0.11738712 0.17370851 0.21772212 0.23432663
+"""
+# The rows above and in the middle of a point's slope along x, sigma 1.
+SLOPE = [[0.00518165, 0.0116113, 0, -0.0116113, -0.00518165], [0.0232225, 0.0520381, 0, -0.0520381, -0.0232225], [0.0382875, 0.0857963, 0, -0.0857963, -0.0382875]]
+
+
+def test_gaussian_derivatives(grid):
+    quarter = lambda text: np.array([[float(v) for v in row.split()] for row in text.strip().split("\n")])
     line = np.zeros((11, 11))
     line[5, 3:8] = 1
+    assert np.allclose(plane(A.gaussian_derivative(grid(IMPULSE), 1, 1, 1, 1, 0, 0))[:3], SLOPE, atol=1e-6)
     large, small = (plane(g) for g in A.hessian_gaussian_eigenvalues(grid(line), 2))
-    assert (large >= small).all() and small[5, 5] < 0
-    assert plane(A.sato_filter(grid(line), 1, 3, 1))[5, 5] == plane(A.sato_filter(grid(line), 1, 3, 1)).max()
+    assert np.allclose(large[:6, :6], quarter(HESSIAN_2), atol=1e-6) and (large >= small).all()
+    assert np.allclose(plane(A.sato_filter(grid(line), 1, 3, 1))[:6, :6], quarter(SATO_1_2), atol=1e-6)
+    assert np.allclose(plane(A.tubeness(grid(line), 2)), plane(A.sato_filter(grid(line), 2, 3, 1)))
 
 
 NESTED = np.array([[1, 1, 2, 2, 3, 3, 3, 3]] * 2 + [[1, 1, 7, 7, 7, 7, 3, 3]] * 2 + [[6, 6, 7, 7, 7, 7, 4, 4]] * 2 + [[5, 5, 5, 5, 5, 5, 4, 4]] * 2)
