@@ -17,7 +17,11 @@ as large as the texts that have it.
 Defined results: a null text is empty; a text without terms has the
 fingerprint of zeros, is like another such text with 1 and like others with 0;
 the next document of the last in descending order is the first; rows with null
-ids come last; of rows with the same id and text each gets the same result.
+ids come last; of rows with the same id and text each gets the same result, and
+of texts with the same id that with the smallest hash is the next one; an empty
+table gives no rows; a very long text is one row like any other, and only its
+distinct words are held at once; other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import cut
+from ._common import column, cut, input_bytes
 
-SAMPLES = 24
+SAMPLES = 32
+#: Bytes of input for each task, about.
+PART_BYTES = 8 << 20
 _BITS = 24
 _LEAST = -(2**63)  # stands for a null id
 
@@ -103,8 +109,8 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has its last third replaced by as much of the start of the
     next document in descending order of ids.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("of", F.xxhash64("text"))
+    parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, 2 * input_bytes(docs) // PART_BYTES))
+    src = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(_LEAST)).alias("k"), F.coalesce(column(text_col), F.lit("")).alias("text")).withColumn("of", F.xxhash64("text"))
     rows = cut(src.groupBy("k", "of").agg(F.count("*").alias("times"), F.max(F.length("text")).alias("n")))
     follow = next_keys(rows.groupBy("k").agg(F.min("of").alias("of")))
     rows = cut(rows.join(follow, "k").withColumn("third", F.floor(F.col("n") / 3).cast("int")))
