@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +73,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it is made of this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op10_fingerprints": op10_fingerprints,
@@ -86,7 +91,7 @@ def queries() -> dict[str, Query]:
         "op7_substring_dedup": op7_substring_dedup,
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
@@ -132,5 +137,7 @@ FROM h
 
 
 def oracle_sql() -> dict[str, str]:
+    import corpus_pipeline
+
     known = {"op4_decontaminate": _OP4, "op7_substring_dedup": _OP7, "op9_warc": _OP9, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in known.items() if sql}

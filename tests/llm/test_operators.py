@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from gridweave.llm import bpe, decontaminate, fingerprints, language_id, near_dedup, quality, substring_dedup, token_store, url_filters, warc
@@ -307,6 +308,24 @@ def test_decontamination(docs, spark):
     assert decontaminate.contained_items(docs, table.filter("false")).count() == 0
 
 
+def test_short_items_in_long_documents(spark):
+    """Items of five to eight words, and others, are found in long documents wherever they lie."""
+    own = random.Random(4)
+    word = lambda: f"w{own.randrange(50_000)}"
+    items = [[word() for _ in range(5 + i % 4 if i < 240 else 9 + i % 70)] for i in range(320)]
+    texts = []
+    for i, item in enumerate(items):
+        n = own.randrange(100, 400)
+        at = (0, n, own.randrange(n))[i % 3]
+        filler = [word() for _ in range(n)]
+        texts.append(" ".join(filler[:at] + item + filler[at:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {tuple(r)[:2] for r in decontaminate.contained_items(docs, table).collect()} == {(i, i) for i in range(320)}
+    same = decontaminate.contained_items(docs.withColumnRenamed("doc_id", "item_id"), table, id_col="item_id")
+    assert same.columns == ["item_id", "item_item_id", "containment"]
+
+
 # -- classifiers --------------------------------------------------------------------
 
 
@@ -341,6 +360,124 @@ def test_language_id(spark, docs):
     assert language_id.keep_clear(docs, model).columns == docs.columns
 
 
+def test_language_of_odd_letters(spark):
+    def word(first, n):
+        return "".join(chr(first + i) for i in range(n))
+
+    greek, hindi = " ".join([word(0x3B1, 5)] * 30), "\u0939\u093f\u0928\u094d\u0926\u0940"
+    rows = [(i, "the cat and the dog " * 5, "en") for i in range(9)] + [(i, greek, "el") for i in range(9, 18)] + [(i, " ".join([hindi] * 30), "hi") for i in range(18, 27)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["\u00bd", "\u00b2", "\u2460\u2461", "123 \u0301", hindi, "\u1780\u1781\u1782", greek.upper(), "the \u1780\u1781\u1782"]
+    got = {r["text"]: r for r in language_id.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model, spans=True).collect()}
+    assert all((got[t]["lang_pred"], got[t]["score"]) == ("und", 0) for t in texts[:4])
+    assert got[hindi]["lang_pred"] == "hi" and got[hindi]["spans"][0]["words"] == 1
+    assert got[texts[5]]["score"] == 0 and got[texts[5]]["lang_pred"] in model.langs  # of a script that no language has
+    assert got[texts[6]]["lang_pred"] == "el" and got[texts[7]]["lang_pred"] == "en" and got[texts[7]]["score"] == 0.5
+
+
+def test_more_languages_than_a_byte_counts():
+    scores = np.full((300, 300), -50, np.float32)
+    scores[np.arange(300), np.arange(300)] = 0
+    assert (language_id.viterbi(scores, np.array([0, 300]), 1.0) == np.arange(300)).all()
+
+
+def test_samples_of_any_size(spark):
+    """A share of one in 10^12 is no share of none, and a share of 1 is all."""
+    from gridweave.llm._common import share_of
+
+    ids = spark.range(20_000).select(F.xxhash64(F.lit(3), "id").alias("h"))
+    assert ids.filter(share_of(F.col("h"), 1.0)).count() == 20_000
+    assert 800 < ids.filter(share_of(F.col("h"), 0.05)).count() < 1200
+    assert spark.range(1).filter(share_of(F.lit(3).cast("long"), 1e-12)).count() == 1
+
+
+def plain_boosting(x, y, rounds, pair_rounds):
+    """Cyclic boosting by trying all cuts of each table, with loops."""
+    rows, n = x.shape
+
+    def cuts(f, k):
+        return sorted(set(np.quantile(x[:, f], [i / k for i in range(1, k)])))
+
+    def place(edges, v):
+        return sum(v >= e for e in edges)
+
+    def gain(g, h):
+        return g * g / (h + quality.RIDGE)
+
+    def leaf(g, h):
+        return g / (h + quality.RIDGE)
+
+    base = float(np.log((y.sum() + 1) / (len(y) + 2) / (1 - (y.sum() + 1) / (len(y) + 2))))
+    z = np.full(rows, base)
+
+    def slopes():
+        p = 1 / (1 + np.exp(-z))
+        return y - p, p * (1 - p)
+
+    def tree(g, h, lo, hi, depth, out):
+        if depth == 0 or hi - lo == 1:
+            out[lo:hi] = [leaf(sum(g[lo:hi]), sum(h[lo:hi]))] * (hi - lo)
+            return
+        best = max(range(lo + 1, hi), key=lambda c: (gain(sum(g[lo:c]), sum(h[lo:c])) + gain(sum(g[c:hi]), sum(h[c:hi])), -c))
+        tree(g, h, lo, best, depth - 1, out)
+        tree(g, h, best, hi, depth - 1, out)
+
+    for _ in range(rounds):
+        for f in range(n):
+            edges = cuts(f, quality.BINS)
+            bins = [place(edges, v) for v in x[:, f]]
+            g, h = slopes()
+            gs, hs = [0.0] * (len(edges) + 1), [0.0] * (len(edges) + 1)
+            for b, u, v in zip(bins, g, h, strict=True):
+                gs[b] += u
+                hs[b] += v
+            out = [0.0] * len(gs)
+            tree(gs, hs, 0, len(gs), 2, out)
+            z = z + quality.RATE * np.array([out[b] for b in bins])
+    coarse = [[place(cuts(f, quality.PAIR_BINS), v) for v in x[:, f]] for f in range(n)]
+
+    def pair(a, b):
+        g, h = slopes()
+        best, leaves = -1.0, None
+        for i in range(1, max(coarse[a]) + 1):
+            for j in range(1, max(coarse[b]) + 1):
+                side = [(p >= i) * 2 + (q >= j) for p, q in zip(coarse[a], coarse[b], strict=True)]
+                gs, hs = np.bincount(side, g, 4), np.bincount(side, h, 4)
+                total = sum(gain(u, v) for u, v in zip(gs, hs, strict=True))
+                if total > best + 1e-12:
+                    best, leaves = total, np.array([leaf(gs[s], hs[s]) for s in side])
+        return best, leaves
+
+    chosen = sorted(((pair(a, b)[0], a, b) for a in range(n) for b in range(a)), reverse=True)[: quality.PAIRS]
+    for _ in range(pair_rounds):
+        for _, a, b in chosen:
+            z = z + quality.RATE * pair(a, b)[1]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_boosting_is_the_plain_version(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 4)
+    monkeypatch.setattr(quality, "PAIRS", 2)
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(150, 3)), 2)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * r.normal(size=150) > 0).astype(float)
+    model = quality.train(x, y)
+    assert np.allclose(model.score(x), plain_boosting(x, y, 4, 1), atol=1e-9)
+    # scores are sums of table entries, row by row
+    for row, got in zip(x, model.score(x), strict=True):
+        total = model.base + sum(t[sum(v >= e for e in edges)] for t, edges, v in zip(model.tables, model.edges, row, strict=True))
+        total += sum(t[sum(row[a] >= e for e in model.pair_edges[a]), sum(row[b] >= e for e in model.pair_edges[b])] for a, b, t in model.pairs)
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_quality_features_of_one_text():
+    x = quality.features(pa.array(["The cat SAT.\nThe cat sat!", None, ""]))
+    at = {n: x[0, i] for i, n in enumerate(quality.FEATURES)}
+    assert at["log_words"] == pytest.approx(np.log1p(6)) and at["upper_words"] == pytest.approx(1 / 6) and at["capital_words"] == pytest.approx(3 / 6)
+    assert at["distinct_words"] == pytest.approx(5 / 6) and at["top_word"] == pytest.approx(2 / 6) or at["distinct_words"] == pytest.approx(4 / 6)
+    assert (x[1] == x[2]).all()
+
+
 def test_quality(spark, docs):
     real, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(real, labels)
@@ -488,16 +625,139 @@ def test_fingerprints_collide_like_weighted_jaccard(spark):
     assert abs(same - sum((a & b).values()) / sum((a | b).values())) < 0.1
 
 
-def test_fingerprints_have_24_samples(spark):
-    """A likeness moves in steps of 1/24 at most."""
+def plain_fingerprint(text, samples=fingerprints.SAMPLES):
+    """Consistent weighted sampling of one text, term by term and sample by sample."""
+    import math
+
+    import xxhash
+
+    def number(x, seed=42, size=8):
+        h = xxhash.xxh64(x.to_bytes(size, "little", signed=True), seed=seed % 2**64).intdigest()
+        return h - 2**64 if h >= 2**63 else h
+
+    def uniform(h, shift):
+        return (((h % 2**64) >> shift & 0x1FFFFF) + 0.5) * 2.0**-21
+
+    terms = Counter(t for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t)
+    out = []
+    for i in range(samples):
+        best = None
+        for term, n in terms.items():
+            t0 = xxhash.xxh64(term.encode(), seed=42).intdigest()
+            t0 = t0 - 2**64 if t0 >= 2**63 else t0
+            g, h = (number(x, number(t0), 4) for x in (2 * i, 2 * i + 1))
+            r, c, b = -math.log(uniform(g, 0) * uniform(g, 21)), -math.log(uniform(g, 42) * uniform(h, 0)), uniform(h, 21)
+            t = math.floor(math.log(n) / r + b)
+            order = math.log(c) - r * (t - b) - r
+            high = int(max(0.0, min(2.0**39 - 1, (order + 64) * 2.0**32)))
+            value = high << 24 | number(t, number(h)) & 0xFFFFFF
+            best = value if best is None else min(best, value)
+        out.append(0 if best is None else best & 0xFFFFFFFF)
+    return out
+
+
+def test_fingerprints_are_consistent_weighted_samples(docs):
+    """Fingerprints and likenesses equal those of a plain version, but for the last bit of a logarithm."""
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] < 100), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_report(docs).collect()}
+    wrong = asked = 0
+    for (d, text), (_, after) in zip(rows, rows[1:], strict=False):
+        if len(text) > 3000:
+            continue
+        cut = len(text) // 3
+        own, edited, following = map(plain_fingerprint, (text, text[: len(text) - cut] + after[:cut], after))
+        for name, want in (("fingerprint", own), ("edited_fingerprint", edited)):
+            wrong += sum(got[d][name][8 * i : 8 * i + 8] != f"{v:08x}" for i, v in enumerate(want))
+            asked += len(want)
+        n = fingerprints.SAMPLES
+        assert abs(got[d]["near_edited"] - sum(x == y for x, y in zip(own, edited, strict=True)) / n) <= 1 / n
+        assert abs(got[d]["near_next"] - sum(x == y for x, y in zip(own, following, strict=True)) / n) <= 1 / n
+    assert wrong <= 0.002 * asked
+
+
+def test_fingerprints_have_32_samples(spark):
+    """A likeness moves in steps of 1/32 at most."""
     row = fingerprints.fingerprint_report(spark.createDataFrame([(1, BASE)], "doc_id long, text string")).first()
-    assert len(row["fingerprint"]) >= 8 * 24 and len(row["edited_fingerprint"]) >= 8 * 24
+    assert len(row["fingerprint"]) >= 8 * 32 and len(row["edited_fingerprint"]) >= 8 * 32
 
 
 def test_fingerprints_of_nothing(empty):
     assert fingerprints.fingerprint_report(empty).count() == 0
 
 
+# -- odd frames -----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def model_of_two(spark):
+    rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 5, "en" if i % 2 else "de") for i in range(30)]
+    return language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def all_operators(docs, model):
+    """Every operator on documents, as (name, frame)."""
+    spark = docs.sparkSession
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    byte, word = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+    yield "tokens", token_store.store_report(docs, word)
+    yield "bpe", bpe.encode(docs, byte, digests=True)
+    yield "quality", quality.predict(docs, quality.train(np.zeros((0, len(quality.FEATURES))), np.zeros(0)))
+    yield "contained", decontaminate.contained_items(docs, items)
+    yield "clean", decontaminate.remove_contaminated(docs, items)
+    yield "language", language_id.predict(docs, model, spans=True)
+    yield "clear", language_id.keep_clear(docs, model)
+    yield "report", substring_dedup.removal_report(docs)
+    yield "removed", substring_dedup.remove_repeats(docs)
+    yield "classes", near_dedup.near_duplicate_classes(docs)
+    yield "one", near_dedup.keep_one_of_each(docs)
+    yield "fingerprints", fingerprints.fingerprint_report(docs)
+
+
+ODD = "`doc_id` long, `text` string, `a.b` string, `_c1` int, `node` string, `_text` string, `k` long, `key` string, `x y` double, `spans` array<string>"
+
+
+def test_clashing_and_dotted_names(spark, model_of_two):
+    rows = [(i, t, "s", 1, "n", "t", 5, "k", 0.5, ["q"]) for i, t in enumerate(["the cat and the dog", BASE, BASE, None])]
+    docs = spark.createDataFrame(rows, ODD).repartition(2)
+    kept = {"tokens": 4, "bpe": 4, "quality": 4, "contained": 0, "clean": 4, "language": 4, "report": 4, "removed": 4, "classes": 4, "one": 3, "fingerprints": 4}
+    for name, out in all_operators(docs, model_of_two):
+        got = out.collect()
+        assert len(got) == kept.get(name, len(got)), name
+        if name in ("clean", "clear", "removed", "one"):
+            assert out.columns == docs.columns and all(tuple(r)[2:] == rows[0][2:] for r in got), name
+        elif name in ("bpe", "quality", "language"):
+            assert out.columns[: len(docs.columns)] == docs.columns and all(tuple(r)[2:10] == rows[0][2:] for r in got), name
+
+
+def test_empty_tables(spark, model_of_two):
+    for name, out in all_operators(spark.createDataFrame([], ODD), model_of_two):
+        assert out.count() == 0, name
+    docs = spark.createDataFrame([(1, BASE)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, quality int, item_id long")
+    assert decontaminate.contained_items(docs, none).count() == 0 and decontaminate.remove_contaminated(docs, none).count() == 1
+    assert quality.predict(docs, quality.fit(none, none)).first()["score"] == 0.5
+    assert language_id.predict(docs, language_id.fit(none)).first()["lang_pred"] == "und"
+
+
+def test_very_long_texts(spark, model_of_two):
+    """Texts above what is worked on at once are worked on whole."""
+    own = random.Random(9)
+    long = " ".join(f"w{own.randrange(10**6)}" for _ in range(400_000))
+    assert len(long) > 2 * substring_dedup.MAP_BYTES * 0.6 and len(long) > 2_500_000
+    texts = [long + " " + PASSAGE, PASSAGE, "x" * 300_000, long + " " + PASSAGE]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    found = {name: {r["doc_id"]: r for r in out.collect()} for name, out in all_operators(docs, model_of_two) if name not in ("contained", "bpe")}
+    assert found["report"][0]["n_words"] == 400_050 == found["report"][0]["n_removed"] and found["report"][1]["n_removed"] == 50
+    assert {d: r["class_id"] for d, r in found["classes"].items()} == {0: 0, 1: 1, 2: 2, 3: 0}
+    assert set(found["clean"]) == {2} and found["tokens"][0]["ids_crc32"] == found["tokens"][3]["ids_crc32"]
+    assert found["fingerprints"][0]["fingerprint"] == found["fingerprints"][3]["fingerprint"] and found["fingerprints"][0]["n_chars"] == len(texts[0])
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
 # -- pipeline -----------------------------------------------------------------------
 
 
@@ -515,3 +775,50 @@ def test_pipeline(spark):
     want = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"]: r["decoded_sha256"] for r in out} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+
+
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """All rows of run() equal those of plain versions of the stages, one after the other."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) between 200 and 4000 AND lang IS NOT NULL").orderBy("doc_id").limit(240).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], "s", len(r["text"])) for r in real]
+    top = max(d for d, *_ in rows) + 1
+    rows += [(top, None, "en", "s", 0), (top + 1, "123 --- 456", "en", "s", 11), (top + 2, rows[0][1], "en", "s", 1), (top + 3, rows[5][1] + " tail", "en", "s", 1)]
+    rows += [(top + 4 + i, rows[10 + i][1] + " " + PASSAGE, rows[10 + i][2], "s", 1) for i in range(3)]
+    items = [(0, " ".join(rows[20][1].split()[:30])), (1, prose(20))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    # language: texts without letters go; all others are of one language each
+    docs = {d: t for d, t, *_ in rows if regex.search(r"\p{L}", t or "")}
+    # near-duplicates: the smallest id of each class stays
+    sets, label = {d: shingles(t) for d, t in docs.items()}, {d: d for d in docs}
+
+    def find(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    ids = sorted(docs)
+    for i, d in enumerate(ids):
+        for e in ids[:i]:
+            x, y = sets[d], sets[e]
+            if find(d) != find(e) and min(sum(x.values()), sum(y.values())) >= 0.8 * max(sum(x.values()), sum(y.values())) and sum((x & y).values()) >= 0.8 * sum((x | y).values()):
+                label[max(find(d), find(e))] = min(find(d), find(e))
+    docs = {d: t for d, t in docs.items() if find(d) == d}
+    # repeated windows lose their words
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in docs.items()}
+    seen = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    for d, w in words.items():
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        if gone:
+            docs[d] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    # benchmark items
+    asked = [set(shingles(t)) for _, t in items]
+    docs = {d: t for d, t in docs.items() if not any(len(a & set(shingles(t))) >= 0.8 * len(a) for a in asked)}
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {d: lib.encode(t, add_special_tokens=False).ids for d, t in docs.items()}
+    got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and 150 < len(want) < len(rows)
