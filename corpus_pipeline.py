@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and reread as the next stage's documents.  All stages but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, other columns included and
+whatever their names.
+
+Defined results: a null or empty text has no language and goes; of rows alike
+one stays; of very long texts all words count in each stage; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -53,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokens", to_tokens),
 ]
 
-#: SQL cannot express language ID, near-duplicate classes or BPE; the tests compare run() with brute force.
+#: SQL cannot express language ID, near-duplicate classes or BPE; a test compares run() with plain versions of the stages.
 ORACLE_SQL: str | None = None
 
 
