@@ -279,11 +279,18 @@ def _similar_classes(k: int, threshold: float):
     return run
 
 
+def _with_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows (key, node, size, ...) with what is known of their bucket; a large bucket's row goes to several tasks."""
+    copies = F.ceil(F.col("size") / MEMBERS).cast("int")
+    buckets = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("size")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), copies).cast("int")).join(buckets, ["key", "salt"]).drop("salt")
+
+
 def _left_apart(met: DataFrame, label: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame | None:
     """Links (node, leader) of all similar nodes that share a bucket and are of different classes."""
     rows = met.select("key", "node", "n", "size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("key")
-    rows = cut(rows.join(several, "key"))
+    several = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("size").alias("size")).filter("a != b").select("key", "size")
+    rows = cut(_with_bucket(rows, several))
     largest = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
     home = rows.groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("home"), F.first("n").alias("n"), F.first("label").alias("label"))
     load = cut(home.groupBy("home").agg(F.sum("n").alias("load")))
@@ -330,10 +337,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     one_each = texts.dropDuplicates(["node"]) if repeated else texts
     # the node that shares most buckets with most nodes leads: an original rather than one of its copies
     central = met.groupBy("node").agg(F.sum("size").alias("order"))
-    ranked = met.select("key", "node", "n").join(central, "node")
-    first = ranked.groupBy("key").agg(F.max(F.struct("order", "node", "n"))["node"].alias("leader"), F.max(F.struct("order", "node", "n"))["n"].alias("m"))
+    ranked = met.select("key", "node", "n", "size").join(central, "node")
+    top = F.max(F.struct("order", "node", "n"))
+    first = ranked.groupBy("key").agg(top["node"].alias("leader"), top["n"].alias("m"), F.first("size").alias("size"))
     fits = (F.col("node") != F.col("leader")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold)
-    edges = _verified(ranked.join(first, "key").filter(fits).select("node", "leader").distinct(), one_each, k, threshold)
+    edges = _verified(_with_bucket(ranked, first).filter(fits).select("node", "leader").distinct(), one_each, k, threshold)
     label = _components(edges)
     more = _left_apart(met, label, one_each, k, threshold)
     drop_cut(met, texts)
