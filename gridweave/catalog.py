@@ -25,8 +25,10 @@ HS, QS = (31, 64, 1), (64, 32, 12)
 
 
 def grid_e(spark: SparkSession, sf: str) -> Grid:
-    """64 components wide; the height is the number of vectors and not needed here."""
-    return from_array_column(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding"), F.col("vec_id"), "embedding", (64, 1 << 20, 1))
+    """64 components wide; as high as the largest id asks for."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    top = rows.agg(F.max("vec_id")).first()[0]  # from the file's statistics, or one narrow column
+    return from_array_column(rows, F.col("vec_id"), "embedding", (64, 1 if top is None else int(top) + 1, 1))
 
 
 def grid_h(spark: SparkSession, sf: str, dtype: str = FLOAT) -> Grid:
@@ -562,6 +564,57 @@ add("convolve_fft", lambda g: A.convolve_fft(g, _K), "H",
     "LEFT JOIN H b ON b.y = (a.y - o.i + 64) % 64 AND b.x = (a.x + 1 - o.j + 32) % 32 - 1 GROUP BY a.z, a.y, a.x")
 add("deconvolve_fft", lambda g: A.deconvolve_fft(g, np.ones((3, 3)) / 9, None, 5), "H")
 
+# -- older spellings, each against what it stands for -----------------------------------------------
+
+
+def _same(name: str) -> str:
+    return SQL[name].removeprefix(f"WITH {_ALL}\n")
+
+
+for _n, _t in {"maximum": "maximum_filter", "minimum": "minimum_filter", "mean": "mean_filter", "median": "median", "variance": "variance_filter", "standard_deviation": "standard_deviation"}.items():
+    add(f"{_n}_box", lambda g, f=A.OPERATORS[f"{_n}_box"]: f(g, 2, 2, 2), "H", _same(_t))
+_SX, _SN = (_S1, "max(b.v)"), (_S1, "min(b.v)")
+_OPENED, _CLOSED = chain("H", [_SN, _SX]), chain("H", [_SX, _SN])
+for _n, _s in {
+    "closing_box": _same("grayscale_closing"), "opening_box": _same("grayscale_opening"), "top_hat_box": _same("top_hat"), "bottom_hat_box": _same("bottom_hat"),
+    "closing_sphere": _CLOSED, "opening_sphere": _OPENED, "top_hat_sphere": two("a.v - b.v", "H", f"({_OPENED})"), "bottom_hat_sphere": two("b.v - a.v", "H", f"({_CLOSED})"),
+    "standard_deviation_sphere": near("H", _S1, "stddev_pop(b.v)"), "mode_box": _same("mode"),
+    "mode_sphere": _same("mode").replace(", ".join(map(str, _B1)), ", ".join(map(str, _S1))),
+    "laplace_box": _same("laplace"), "detect_maxima_box": _same("detect_maxima"), "detect_minima_box": _same("detect_minima"),
+    "nonzero_maximum_box": _same("nonzero_maximum"), "nonzero_minimum_box": _same("nonzero_minimum"), "onlyzero_overwrite_maximum_box": _same("onlyzero_overwrite_maximum"),
+    "nonzero_maximum_diamond": near("H", _S1, "CASE WHEN a.v <> 0 THEN max(b.v) ELSE 0.0 END"),
+    "nonzero_minimum_diamond": near("H", _S1, "CASE WHEN a.v <> 0 THEN min(b.v) FILTER (WHERE b.v <> 0) ELSE 0.0 END"),
+    "onlyzero_overwrite_maximum_diamond": near("H", _S1, "CASE WHEN a.v = 0 THEN max(b.v) ELSE a.v END"),
+}.items():
+    add(_n, A.OPERATORS[_n], "H", _s)
+for _n, _o in {"dilate_box": (_B1, "max"), "dilate_sphere": (_S1, "max"), "erode_box": (_B1, "min"), "erode_sphere": (_S1, "min")}.items():
+    add(_n, A.OPERATORS[_n], "B", near("B", _o[0], f"{_o[1]}(b.v)"))
+add("replace_intensity", lambda g: A.replace_intensity(g, 0, 5), "Q", _same("replace_value"))
+add("replace_intensities", lambda g: A.replace_intensities(g, _table(g)), "L", _same("replace_values"))
+add("connected_components_labeling", A.connected_components_labeling, "B")
+for _n, _t in {"exclude_labels_with_map_values_out_of_range": "remove_labels_with_map_values_out_of_range", "exclude_labels_with_map_values_within_range": "remove_labels_with_map_values_within_range"}.items():
+    add(_n, lambda g, f=A.OPERATORS[_n]: f(g, _table(g), 2, 4), "L", _same(_t))
+for _n, _t in {
+    "generate_touch_count_matrix": "generate_touching_area_matrix", "generate_touch_portion_matrix": "generate_partial_touching_area_matrix",
+    "standard_deviation_touch_portion": "standard_deviation_partial_touching_area_matrix", "label_pixel_count_map": "pixel_count_map",
+}.items():
+    add(_n, A.OPERATORS[_n], "L", _same(_t))
+add("generate_touch_portion_within_range_neighbors_matrix", lambda g: A.generate_touch_portion_within_range_neighbors_matrix(A.generate_touch_portion_matrix(g), 0.2, 0.4), "L", _same("generate_partial_touching_area_matrix_within_range"))
+add("average_distance_touching_neighbors", lambda g: A.average_distance_touching_neighbors(A.centroid_distances(g), A.generate_touch_matrix(g)), "L", _same("mean_distance_touching_neighbors"))
+for _n, _t in {
+    "average_distance_of_n_nearest_distances": "mean_distance_n_nearest_neighbors", "maximum_distance_of_n_shortest_distances": "maximum_distance_n_nearest_neighbors",
+    "average_distance_of_n_far_off_distances": "mean_distance_n_farthest_neighbors",
+}.items():
+    add(_n, lambda g, f=A.OPERATORS[_n]: f(A.centroid_distances(g), 3), "L", _same(_t))
+add("read_intensities_from_map", lambda h, g: A.read_intensities_from_map(g, h), "HL", _same("read_map_values"))
+_PLAIN = ("label", "area", "min_intensity", "max_intensity", "sum_intensity", "mean_intensity", "standard_deviation_intensity")
+_STAT = "SELECT i.i AS label, CAST(count(x) AS DOUBLE) AS area, " + ", ".join(f"round(coalesce({a}, 0), 5) + 0.0 AS {n}_intensity" for n, a in (("min", "min(w)"), ("max", "max(w)"), ("sum", "sum(w)"), ("mean", "avg(w)"), ("standard_deviation", "stddev_pop(w)")))
+_STAT += " FROM range({first}, 129) i(i) LEFT JOIN (SELECT L.v, L.x, CAST(H.v AS DOUBLE) AS w FROM L JOIN H USING (z, y, x)) l ON l.v = i.i GROUP BY i.i"
+add("statistics_of_labelled_pixels", lambda h, g: A.statistics_of_labelled_pixels(h, g).select(*_PLAIN), "HL", _STAT.format(first=1))
+add("statistics_of_background_and_labelled_pixels", lambda h, g: A.statistics_of_background_and_labelled_pixels(h, g).select(*_PLAIN), "HL", _STAT.format(first=0))
+add("label_mean_intensity_map", lambda h, g, f=A.label_mean_intensity_map: f(h, g), "HL", _same("mean_intensity_map"))
+add("statistics_of_labelled_neighbors", lambda g: A.statistics_of_labelled_neighbors(g, (10,), (2,), (1,)), "L")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells above the Otsu threshold of H for each row."""
@@ -584,7 +637,7 @@ def queries() -> dict[str, Query]:
 #: Queries whose result has no column v.
 NO_V = {
     "maximum_position", "minimum_position", "bounding_box", "label_bounding_box", "center_of_mass", "spots_to_pointlist", "labelled_spots_to_pointlist",
-    "centroids_of_labels", "labels_statistics", "histogram", "otsu_rows",
+    "centroids_of_labels", "labels_statistics", "histogram", "otsu_rows", "statistics_of_labelled_pixels", "statistics_of_background_and_labelled_pixels",
 }
 
 

@@ -147,18 +147,18 @@ def reach(touch: DataFrame, radius: int = 1, ignore_background: bool = True) ->
     return out.distinct()
 
 
-def _of_neighbors(values: DataFrame, touch: DataFrame, agg: Column, itself: bool, radius: int = 1, ignore_background: bool = True) -> DataFrame:
-    """(label, v) from a table (label, v): an aggregate over the touching labels."""
+def _near_values(values: DataFrame, touch: DataFrame, itself: bool, radius: int, ignore_background: bool) -> DataFrame:
+    """(label, v): the values of the labels that touch each label."""
     near = reach(touch, radius, ignore_background)
     if itself:
         own = values.filter("label != 0") if ignore_background else values
         near = near.union(own.select(F.col("label").alias("i"), F.col("label").alias("j")))
-    got = near.join(values.select(F.col("label").alias("j"), "v"), "j")
-    return got.groupBy(F.col("i").alias("label")).agg(agg.alias("v"))
+    return near.join(values.select(F.col("label").alias("j"), "v"), "j").select(F.col("i").alias("label"), "v")
 
 
-def _middle() -> Column:
-    return F.element_at(F.sort_array(F.collect_list("v")), (F.floor(F.count("v") / 2) + 1).cast("int"))
+def _of_neighbors(values: DataFrame, touch: DataFrame, agg: Column, itself: bool, radius: int = 1, ignore_background: bool = True) -> DataFrame:
+    """(label, v) from a table (label, v): an aggregate over the touching labels."""
+    return _near_values(values, touch, itself, radius, ignore_background).groupBy("label").agg(agg.alias("v"))
 
 
 def mean_of_touching_neighbors(values: DataFrame, touch: DataFrame, radius: int = 1, ignore_background: bool = True) -> DataFrame:
@@ -166,7 +166,10 @@ def mean_of_touching_neighbors(values: DataFrame, touch: DataFrame, radius: int
 
 
 def median_of_touching_neighbors(values: DataFrame, touch: DataFrame, radius: int = 1, ignore_background: bool = True) -> DataFrame:
-    return _of_neighbors(values, touch, _middle(), True, radius, ignore_background)
+    near = _near_values(values, touch, True, radius, ignore_background)
+    own = W.partitionBy("label")  # sorted on disk where a label has very many neighbours
+    ranked = near.select("label", "v", F.row_number().over(own.orderBy("v")).alias("r"), F.count("*").over(own).alias("n"))
+    return ranked.filter(F.col("r") == F.floor(F.col("n") / 2) + 1).select("label", "v")
 
 
 def minimum_of_touching_neighbors(values: DataFrame, touch: DataFrame, radius: int = 1, ignore_background: bool = True) -> DataFrame:

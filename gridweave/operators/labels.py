@@ -54,11 +54,22 @@ def relabel_sequential(src: Grid) -> Grid:
     return paint(src, numbered(ids), "new", src.dtype)
 
 
+#: Ids of an array that is made at once.
+IDS = 1 << 16
+
+
+def ids_up_to(top: DataFrame, first: int) -> DataFrame:
+    """(label) from ``first`` to the one number ``top``, in pieces of bounded size."""
+    last = F.col("top").cast("long")
+    pieces = top.filter(last >= first).select(last.alias("top"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / IDS))).alias("piece"))
+    begin, end = F.greatest(F.col("piece") * IDS, F.lit(first).cast("long")), F.least(F.col("piece") * IDS + IDS - 1, F.col("top"))
+    return pieces.filter(begin <= end).select(F.explode(F.sequence(begin, end)).alias("label"))
+
+
 def flag_existing_labels(src: Grid) -> DataFrame:
     """(label, v) from 0 to the largest label: 1 where it occurs."""
     seen = src.df.select(V().cast("long").alias("label")).distinct().withColumn("v", F.lit(1.0))
-    top = seen.agg(F.max("label").alias("top"))
-    all_ = top.select(F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("label"))
+    all_ = ids_up_to(seen.agg(F.max("label").alias("top")), 0)
     return all_.join(seen, "label", "left").select("label", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
@@ -412,7 +423,8 @@ def labels_statistics(label: Grid | None, intensity: Grid | None = None, include
     """36 properties of each label; absent ids have area 0.  Without labels all is one label."""
     if label is None:
         label = intensity.map(F.lit(1.0), LABEL)
-    rows = pair(label, intensity or label).select(*KEYS, V().cast("long").alias("label"), "w")
+    rows = pair(label, intensity) if intensity else label.df.withColumn("w", V())
+    rows = rows.select(*KEYS, V().cast("long").alias("label"), "w")
     if include_background:
         rows = rows.withColumn("label", F.col("label") + 1)
     rows = rows.filter("label > 0")
@@ -432,8 +444,7 @@ def labels_statistics(label: Grid | None, intensity: Grid | None = None, include
     for m in dist:
         second = second.withColumn(f"mean_max_distance_to_{m}_ratio", N.divide(F.col(f"max_distance_to_{m}"), F.col(f"mean_distance_to_{m}")))
     both = one.join(second, "label")
-    top = both.agg(F.max("label").alias("top"))
-    ids = top.select(F.explode(F.sequence(F.lit(1).cast("long"), "top")).alias("label"))
+    ids = ids_up_to(both.agg(F.max("label").alias("top")), 1)
     out = ids.join(both, "label", "left").na.fill(0.0)
     return out.withColumn("label", F.col("label") - 1) if include_background else out
 

@@ -77,9 +77,10 @@ def _nonzero(src: Grid, largest: bool, connectivity: str) -> Grid:
     sparse = Grid(src.df.withColumn("v", F.when(V() != 0, V())), src.shape, src.dtype)
     if _checked(connectivity) == "box":
         df = _box_extreme(sparse, agg).df
-    else:
-        df = cross(Grid(sparse.df, src.shape, src.dtype))
-        df = df.withColumns({"c": V(), "m": pick(V(), V(), *faces(df))})
+    else:  # a zero never wins; it is no null, which would stand for the world outside
+        never = F.lit(float("-inf" if largest else "inf"))
+        df = cross(Grid(src.df.withColumn("v", F.when(V() != 0, V()).otherwise(never)), src.shape, src.dtype))
+        df = df.withColumns({"c": F.when(V() != never, V()), "m": pick(V(), V(), *faces(df))})
     return Grid(df, src.shape, src.dtype).map(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0.0))
 
 

@@ -239,6 +239,25 @@ def test_gaussian_derivatives(grid):
     assert np.allclose(plane(A.tubeness(grid(line), 2)), plane(A.sato_filter(grid(line), 2, 3, 1)))
 
 
+def test_nonzero_neighbours(grid):
+    image = [[0, 0, 0, 0, 0], [0, 1, 1, 2, 0], [0, 2, 2, 3, 0], [0, 3, 3, 4, 0], [0, 0, 0, 0, 0]]
+    box = [[0, 0, 0, 0, 0], [0, 2, 3, 3, 0], [0, 3, 4, 4, 0], [0, 3, 4, 4, 0], [0, 0, 0, 0, 0]]
+    diamond = [[0, 0, 0, 0, 0], [0, 2, 2, 3, 0], [0, 3, 3, 4, 0], [0, 3, 4, 4, 0], [0, 0, 0, 0, 0]]
+    assert plane(A.nonzero_maximum_box(grid(image))).tolist() == box and plane(A.nonzero_maximum_diamond(grid(image))).tolist() == diamond
+    # a zero between two numbers, and at the edge
+    assert plane(A.nonzero_maximum(grid([[9, 0, 4, 0, 5]]), "sphere"))[0].tolist() == [9, 0, 4, 0, 5]
+    assert plane(A.nonzero_minimum(grid([[3, 0, 4, 5, 0]]), "sphere"))[0].tolist() == [3, 0, 4, 4, 0]
+
+
+def test_ids_in_pieces(spark, monkeypatch):
+    from gridweave.operators import labels
+
+    monkeypatch.setattr(labels, "IDS", 4)
+    for top, first in ((10, 1), (3, 1), (4, 0), (0, 0), (0, 1)):
+        got = [r[0] for r in labels.ids_up_to(spark.createDataFrame([(top,)], "top long"), first).collect()]
+        assert sorted(got) == list(range(first, top + 1))
+
+
 NESTED = np.array([[1, 1, 2, 2, 3, 3, 3, 3]] * 2 + [[1, 1, 7, 7, 7, 7, 3, 3]] * 2 + [[6, 6, 7, 7, 7, 7, 4, 4]] * 2 + [[5, 5, 5, 5, 5, 5, 4, 4]] * 2)
 
 
