@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 
 from ._common import column, cut, input_bytes
 
-SAMPLES = 32
+SAMPLES = 24
 #: Bytes of input for each task, about.
 PART_BYTES = 8 << 20
 _BITS = 24
