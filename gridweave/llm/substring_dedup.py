@@ -36,7 +36,7 @@ from ._common import SPACE, U, arrow_session, chunks, column, input_bytes, mix64
 #: Words of a minimiser.
 MINIMISER = 4
 #: Text bytes that are cut into super-k-mers at once.
-MAP_BYTES = 2 << 20
+MAP_BYTES = 4 << 20
 #: Packed bytes that a bucket should hold.
 BUCKET_BYTES = 4 << 20
 #: Text bytes of a task of the join with what repeats.
@@ -183,8 +183,6 @@ def _count(window: int):
         if len(pack):
             found = _repeats(pack, flat, window)
             out = np.concatenate([out, found]) if len(found) else out
-        del packs, runs, pack, flat
-        tidy()
         return pa.table({f: pa.array(out[f]) for f in _RUN.names})
 
     return run
