@@ -65,6 +65,12 @@ def test_mode_box_of_large_values(grid):
     assert plane(A.mode_box(grid(REGIONS * 1000))).tolist() == (BOX_MODE * 1000).tolist()
 
 
+def test_mode_sphere_of_large_values(grid):
+    want = BOX_MODE.copy()
+    want[3, 1] = 2
+    assert plane(A.mode_sphere(grid(REGIONS * 1000))).tolist() == (want * 1000).tolist()
+
+
 def test_mode_of_nan_and_negative_values(grid):
     assert np.array_equal(plane(A.mode(grid([[math.nan, math.nan, -1.5, -300, -300]])))[0], [math.nan, math.nan, -300, -300, -300], equal_nan=True)
 
@@ -361,7 +367,7 @@ def test_oracle(spark, name):
     assert np.allclose(got.sort_values(key).to_numpy(float), want.sort_values(key).to_numpy(float), atol=1e-5)
 
 
-@pytest.mark.parametrize("name", ["mode", "mode_box"])
+@pytest.mark.parametrize("name", ["mode", "mode_box", "mode_sphere"])
 def test_oracle_of_large_counts(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     from gridweave import catalog
