@@ -56,11 +56,11 @@ from pyspark.sql import functions as F
 from ._common import SPACE, arrow_session, chunks, column, cut, input_bytes, mix64, seeds, shared_dir, text_bytes, tidy, word_spans
 from .bpe import _Ragged, byte_characters
 
-MAGIC = b"GWTOK2\0\0"
+MAGIC = b"GWTOK3\0\0"
 #: Ids of a block.
 BLOCK = 1024
 #: Blocks that are coded at once.
-LANES = 4096
+LANES = 8192
 #: Ids between two refreshes of the order-0 counts.
 REFRESH = 512
 #: Slots of the order-2 context table.
@@ -88,6 +88,8 @@ _SLOT_BITS = 20  # of an entry that hold the id; the rest is its run
 # logits of k / 4096, times 256, and back to chances of 65536
 _LOGIT = np.rint(256 * np.log(np.clip(np.arange(4097), 0.5, 4095.5) / np.clip(4096 - np.arange(4097), 0.5, 4095.5))).astype(np.int32)
 _CHANCE = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 256, 65536 - 512).astype(np.int32)
+# by the width of an order-1 part that is excluded: one over what is left, a little less, so that no rounding leads past a range
+_PARTS = (1 - 2.0**-50) / np.maximum(_ROW_ALL - np.arange(_ROW_ALL + 1), 1)
 
 
 class StartModel:
@@ -213,7 +215,7 @@ class _Lanes:
         self.at_class, self.at_cum, self.at_place = rows * _CLASSES, rows * (_CLASSES + 1), rows * _CLASS_ALL
         self.entry = np.zeros(lanes * SLOTS, np.int32)  # run << _SLOT_BITS | the id that it predicts
         self.chance = np.tile(np.linspace(0.1, 0.9, _RUNS) * 65536, lanes).astype(np.int32)
-        self.w2, self.w1, self.w0 = (np.full(lanes, w, np.int32) for w in (26000, 26000, 4000))
+        self.w = np.repeat(np.array([[26000], [26000], [4000]], np.int32), lanes, 1)  # of orders 2, 1 and 0
         self.row = np.full(lanes, 3500, np.int32)
         self.counts = np.tile(start.class_count.astype(np.int32), (lanes, 1))
         self.refresh([])
@@ -228,40 +230,72 @@ class _Lanes:
         freq[:, 0] += _CLASS_ALL - freq.sum(1)
         cum = np.zeros((len(freq), _CLASSES + 1), np.int32)
         np.cumsum(freq, 1, out=cum[:, 1:])
-        self.freq, self.cum = freq.ravel(), cum.ravel()
-        self.place = np.repeat(np.tile(np.arange(_CLASSES, dtype=np.uint8), len(freq)), self.freq) if self.decodes else None
+        self.cum = cum.ravel()
+        self.place = np.repeat(np.tile(np.arange(_CLASSES, dtype=np.uint8), len(freq)), freq.ravel()) if self.decodes else None
+
+    def between(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Width and begin of classes."""
+        begin = _take(self.cum, at)
+        return _take(self.cum, at + 1) - begin, begin
 
     def predict(self, row: np.ndarray, slot: np.ndarray) -> None:
         """Mixes the chance of what order 2 predicts; ``row`` is where the last id's row of cells begins."""
         n, s = len(row), self.start
         self.slot = slot + self.at_slot[:n]
-        e = self.entry.take(self.slot)
+        e = _take(self.entry, self.slot)
         self.run, self.guess = e >> _SLOT_BITS, e & ((1 << _SLOT_BITS) - 1)
         self.j = self.run + self.at_run[:n]
-        out = s.cell.take(row + np.minimum(self.guess, s.k))
+        out = _take(s.cell, row + np.minimum(self.guess, s.k))
         self.out_cum, self.out_freq = out >> 16, out & 0xFFFF
-        self.c2 = self.chance.take(self.j)
-        self.l2, self.l1, self.l0 = _LOGIT.take(self.c2 >> 4), _LOGIT.take(self.out_freq), s.logit0.take(self.guess)
-        dot = (self.w2[:n] * self.l2 + self.w1[:n] * self.l1 + self.w0[:n] * self.l0) >> 16
-        self.p = _CHANCE.take(dot + 2048, mode="clip")
+        self.c2 = _take(self.chance, self.j)
+        self.logit = np.empty((3, n), np.int32)
+        for i, (table, at) in enumerate(((_LOGIT, self.c2 >> 4), (_LOGIT, self.out_freq), (s.logit0, self.guess))):
+            table.take(at, None, self.logit[i], "clip")
+        dot = self.w[:, :n] * self.logit
+        dot[0] += dot[1]
+        dot[0] += dot[2]
+        dot = dot[0] >> 16
+        dot += 2048
+        self.p = _take(_CHANCE, dot)
         self.q = self.row[:n]
         self.one = (65536 - self.p) * self.q >> 12
 
-    def intervals(self, hits: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin and width of each part: [0, p) is order 2, then order 1, then order 0; and into how much it is divided."""
-        begin, width, whole = self.p.astype(_U), self.one.astype(_U), (_ROW_ALL - self.out_freq).astype(_U)
-        width[hits], begin[hits], whole[hits] = begin.take(hits), 0, 1
-        after = begin.take(rest) + width.take(rest)
-        begin[rest], width[rest], whole[rest] = after, _U(65536) - after, _CLASS_ALL * _ID_ALL
-        return begin, width, whole
-
-    def update(self, x: np.ndarray, hit: np.ndarray, in_row: np.ndarray) -> None:
-        error = (hit.astype(np.int32) << 16) - self.p
-        self.chance[self.j] = self.c2 + ((error + self.p - self.c2 - hit) >> 4)
-        for w, logit in ((self.w2, self.l2), (self.w1, self.l1), (self.w0, self.l0)):
-            w[: len(x)] += logit * error >> 15
-        self.q += ((in_row * np.int32(3840) + 128 - self.q) >> 5) * ~hit
-        self.entry[self.slot] = x | np.minimum(self.run * hit + 1, _RUNS - 1) << _SLOT_BITS
+    def parts(self, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a 65536th of each range: how much; and where the parts of order 2 and of order 1 end, which begin at 0."""
+        unit = rng >> _U(16)
+        two = unit * self.p.astype(_U)
+        return unit, two, two + unit * self.one.astype(_U)
+
+    def divided(self, unit: np.ndarray, two: np.ndarray, one: np.ndarray, hits: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of each id begins, and the unit that it is divided into."""
+        lo, r = two.copy(), one - two
+        out = (r.astype(np.float64) * _take(_PARTS, self.out_freq)).astype(_U)
+        lo[hits], out[hits] = 0, _take(two, hits)
+        end = _take(one, rest)
+        lo[rest], out[rest] = end, ((_take(unit, rest) << _U(16)) - end) // _U(_CLASS_ALL * _ID_ALL)
+        return lo, out
+
+    def update(self, x: np.ndarray, hits: np.ndarray, rest: np.ndarray) -> None:
+        error = -self.p
+        error[hits] += 65536
+        c2 = self.c2 - ((self.c2 + 15) >> 4)
+        old = _take(self.c2, hits)
+        c2[hits] = old + ((65535 - old) >> 4)
+        self.chance[self.j] = c2
+        self.logit *= error
+        self.logit >>= 15
+        self.w[:, : len(x)] += self.logit
+        q = (3968 - self.q) >> 5
+        q[hits], q[rest] = 0, (128 - _take(self.q, rest)) >> 5
+        self.q += q
+        x = x + (1 << _SLOT_BITS)
+        x[hits] += np.minimum(_take(self.run, hits), _RUNS - 2) << _SLOT_BITS
+        self.entry[self.slot] = x
+
+
+def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``take`` of places that exist, without its slow look at each; damaged codes may lead past the end."""
+    return table.take(at, None, None, "clip")
 
 
 _RANKS = np.arange(_MOST_IDS + 1, dtype=np.int64)
@@ -282,7 +316,7 @@ def _settle(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Where the word is not settled yet the range is cut until it is.
     """
     at = np.flatnonzero(rng < _TOP)
-    lo, r = low.take(at), rng.take(at)
+    lo, r = _take(low, at), _take(rng, at)
     rng[at] = np.where((lo ^ (lo + r)) < _TOP, r, (~lo + _U(1)) & (_TOP - _U(1))) << _U(32)
     low[at] = lo << _U(32)
     return at, lo >> _U(32)
@@ -313,36 +347,33 @@ def _encode_lanes(start: StartModel, ids: np.ndarray, ranks: np.ndarray, block:
     a = b = row = np.zeros(lanes, np.int64)
     for t in range(steps):
         n = lanes if t < lens[-1] else lanes - 1
-        x, a, b, row = grid[t, :n].astype(np.int64), a[:n], b[:n], row[:n]
+        x, a, b, row, lo, r = grid[t, :n], a[:n], b[:n], row[:n], low[:n], rng[:n]
         if t and t % REFRESH == 0:
             m.refresh(seen)
-        m.predict(row, _HASH1.take(a) ^ _HASH2.take(b))
+        m.predict(row, _take(_HASH1, a) ^ _take(_HASH2, b))
         near = np.minimum(x, start.k)
-        own = start.cell.take(row + near)
-        row = near * wide
+        own = _take(start.cell, row + near)
+        row = near * np.int64(wide)
         freq, cum = (own & 0xFFFF), own >> 16
         hit = m.guess == x
-        in_row = (freq > 0) & ~hit
-        hits, rest = np.flatnonzero(hit), np.flatnonzero(~(hit | in_row))
-        begin, width, whole = m.intervals(hits, rest)
-        unit = rng[:n] >> _U(16)
-        lo, r = low[:n] + unit * begin, unit * width
+        hits, rest = np.flatnonzero(hit), np.flatnonzero((freq == 0) > hit)
+        begin, unit = m.divided(*m.parts(r), hits, rest)
         cum -= m.out_freq * (cum > m.out_cum)
-        y = x[rest]
-        c = start.cls.take(y)
-        f, at = m.freq.take(m.at_class[rest] + c), m.cum.take(m.at_cum[rest] + c)
-        seen.append(m.at_class[rest] + c)
+        y = _take(x, rest)
+        c = _take(start.cls, y)
+        at = _take(m.at_cum, rest) + c
+        f, at = m.between(at)
+        seen.append(_take(m.at_class, rest) + c)
         freq[hits], cum[hits] = 1, 0
-        freq[rest], cum[rest] = f * start.share.take(y), at * _ID_ALL + f * start.begin.take(y)
-        unit = r // whole
+        freq[rest], cum[rest] = f * _take(start.share, y), at * _ID_ALL + f * _take(start.begin, y)
+        lo += begin
         lo += unit * cum.astype(_U)
-        r = unit * freq.astype(_U)
-        low[:n], rng[:n] = lo, r
-        at, word = _settle(low[:n], rng[:n])
-        to = size.take(at)
+        np.multiply(unit, freq.astype(_U), out=r)
+        at, word = _settle(lo, r)
+        to = _take(size, at)
         code[to] = word
         size[at] = to + 1
-        m.update(x, hit, in_row)
+        m.update(x, hits, rest)
         a, b = x, a
     for shift in (32, 0):
         code[size] = (low >> _U(shift)) & _U(0xFFFFFFFF)
@@ -383,44 +414,43 @@ def _decode_lanes(start: StartModel, codes: list[bytes], lens: np.ndarray, crcs:
     a = b = near = row = np.zeros(lanes, np.int64)
     for t in range(steps):
         n = active[t]
-        a, b, near, row = a[:n], b[:n], near[:n], row[:n]
+        a, b, near, row, lo, r = a[:n], b[:n], near[:n], row[:n], low[:n], rng[:n]
         if t and t % REFRESH == 0:
             m.refresh(seen)
-        m.predict(row, _HASH1.take(a) ^ _HASH2.take(b))
-        v = value[:n] - low[:n]
-        unit = rng[:n] >> _U(16)
-        place = (v // unit).view(np.int64)
-        hit = place < m.p
-        in_row = (place < m.p + m.one) & ~hit
-        hits, rest = np.flatnonzero(hit), np.flatnonzero(~(hit | in_row))
-        begin, width, whole = m.intervals(hits, rest)
-        lo, r = unit * begin, unit * width
-        unit = r // whole
-        s = np.minimum((v - lo) // unit, whole - _U(1)).view(np.int64)
-        in_all = s + m.out_freq * (s >= m.out_cum)
-        x = start.in_row.take(start.row_at.take(near) + in_all, mode="clip").astype(np.int64)
-        own = start.cell.take(row + np.minimum(x, start.k))
+        m.predict(row, _take(_HASH1, a) ^ _take(_HASH2, b))
+        v = value[:n] - lo
+        unit, two, one = m.parts(r)
+        hits, rest = np.flatnonzero(v < two), np.flatnonzero(v >= one)
+        begin, unit = m.divided(unit, two, one, hits, rest)
+        v -= begin
+        s = (v // unit).view(np.int64)
+        z = np.minimum(_take(s, rest), _CLASS_ALL * _ID_ALL - 1)
+        np.minimum(s, _ROW_ALL - 1, out=s)
+        s += m.out_freq * (s >= m.out_cum)
+        s += _take(start.row_at, near)
+        x = _take(start.in_row, s).astype(np.int32)
+        c = _take(m.place, _take(m.at_place, rest) + z // _ID_ALL).astype(np.int64)
+        f, at = m.between(_take(m.at_cum, rest) + c)
+        seen.append(_take(m.at_class, rest) + c)
+        y = _take(start.in_class, _take(start.has, c) * _ID_ALL + (z - at * _ID_ALL) // f)
+        x[rest], x[hits] = y, _take(m.guess, hits)
+        near = np.minimum(x, start.k)
+        own = _take(start.cell, row + near)
+        row = near * np.int64(wide)
         freq, cum = own & 0xFFFF, own >> 16
         cum -= m.out_freq * (cum > m.out_cum)
-        s = s[rest]
-        c = m.place.take(m.at_place[rest] + s // _ID_ALL).astype(np.int64)
-        f, at = m.freq.take(m.at_class[rest] + c), m.cum.take(m.at_cum[rest] + c)
-        seen.append(m.at_class[rest] + c)
-        y = start.in_class.take(start.has.take(c) * _ID_ALL + (s - at * _ID_ALL) // f, mode="clip")
-        x[rest], x[hits] = y, m.guess.take(hits)
         freq[hits], cum[hits] = 1, 0
-        freq[rest], cum[rest] = f * start.share.take(y), at * _ID_ALL + f * start.begin.take(y)
-        lo += low[:n] + unit * cum.astype(_U)
-        r = unit * freq.astype(_U)
-        low[:n], rng[:n] = lo, r
-        at, _ = _settle(low[:n], rng[:n])
-        of = used.take(at)
-        value[at] = (value.take(at) << _U(32)) | code.take(of, mode="clip")
+        freq[rest], cum[rest] = f * _take(start.share, y), at * _ID_ALL + f * _take(start.begin, y)
+        lo += begin
+        lo += unit * cum.astype(_U)
+        np.multiply(unit, freq.astype(_U), out=r)
+        at, _ = _settle(lo, r)
+        of = _take(used, at)
+        value[at] = (_take(value, at) << _U(32)) | _take(code, of)
         used[at] = of + 1
         grid[t, :n] = x
-        m.update(x, hit, in_row)
-        a, b, near = x, a, np.minimum(x, start.k)
-        row = near * wide
+        m.update(x, hits, rest)
+        a, b = x, a
     back = np.empty(lanes, np.int64)
     back[order] = np.arange(lanes)
     grid = np.ascontiguousarray(grid.T)
@@ -485,8 +515,8 @@ class _Numbers:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, -1 where it has none."""
         slot = (keys & _U(self.size - 1)).view(np.int64)
-        out = self.numbers.take(slot)
-        open_ = np.flatnonzero((self.keys.take(slot) != keys) & (out >= 0))
+        out = _take(self.numbers, slot)
+        open_ = np.flatnonzero((_take(self.keys, slot) != keys) & (out >= 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & (self.size - 1)
             at = slot[open_]
@@ -512,12 +542,13 @@ class _Library:
 
     White space separates pre-tokens of this kind of vocabulary and is dropped,
     so a text's ids are those of its pieces.  A piece is known by a 64-bit hash,
-    its length and its first eight bytes.  A mark at the end of a new piece
-    after an ASCII letter or digit is cut off, and ASCII letters are lowered;
-    what is new then is encoded by the library, all as one text.  The ids that
-    end a pre-token, and the number of pre-tokens of each piece, tell where a
-    piece ends.  Pieces with a special token or odd white space, and
-    vocabularies of another kind, are encoded by the library as a whole.
+    its length and its first eight bytes.  ASCII marks at the end of a new piece
+    after a Latin-1 letter or an ASCII digit are cut off, and pieces of Latin-1
+    letters are lowered; words that are new then go to the library's model, what
+    else is new to the library, all as one text.  The ids that end a pre-token,
+    and the number of pre-tokens of each piece, tell where a piece ends.  Pieces
+    with a special token or odd white space, and vocabularies of another kind,
+    are encoded by the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -542,6 +573,9 @@ class _Library:
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
             self.characters = {b: c for b, c in enumerate(byte_characters()) if chr(b) != c}
+            self.code_points = np.array([ord(c) for c in byte_characters()], "<u4")
+            self.marks = np.array([b < 0x80 and not chr(b).isalnum() and chr(b).isprintable() and b != 0x20 for b in range(256)])
+            self.marks[[s.encode()[-1] for s in self.special]] = False  # so none reaches into the marks that are cut off
             self.forget()
 
     def forget(self) -> None:
@@ -613,6 +647,54 @@ class _Library:
         self.checks[rows] = checks
         self.numbers.add(keys, rows)
 
+    def _words(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case Latin-1 letters and how many each has; such words are pre-tokens as they are."""
+        tokenize, text = self.tokenizer.model.tokenize, self.code_points.take(data).tobytes().decode("utf-32-le")
+        ids, many = [], []
+        for i, j in zip(starts.tolist(), stops.tolist(), strict=True):
+            found = [t.id for t in tokenize(text[i:j])]
+            ids += found
+            many.append(len(found))
+        return np.array(ids, np.int64), np.array(many, np.int64)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Adds new pieces, all different."""
+        lens = stops - starts
+        ends = np.cumsum(lens)
+        begins = ends - lens
+        data = data.take(np.repeat(starts - begins, lens) + np.arange(ends[-1]))
+        letter, upper = _latin(data)
+        # where the marks at the end begin
+        stop = np.where(self.marks.take(data), -1, np.arange(len(data)))
+        np.maximum.accumulate(stop, out=stop)
+        stop = np.maximum(stop.take(ends - 1) + 1, begins)
+        marked = (stop < ends) & (stop > begins)
+        marked &= (letter | _DIGIT.take(data)).take(stop - 1)
+        stop = np.where(marked, stop, ends)
+        others, uppers = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (~letter, upper))
+        word = others.take(stop) == others.take(begins)
+        lowered = word & (uppers.take(stop) > uppers.take(begins))
+        data[np.repeat(lowered, lens) & upper] += 0x20
+        derived = marked | lowered
+        at = np.flatnonzero(word & ~derived)
+        if len(at):
+            self._append(*self._words(data, begins[at], ends[at]), keys[at], checks[at])
+        at = np.flatnonzero(~word & ~derived)
+        if len(at):
+            flat = data.tobytes()
+            self._append(*self._encoded([flat[i:j] for i, j in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]), keys[at], checks[at])
+        at = np.flatnonzero(derived)
+        if len(at):
+            marked, stop = marked[at], stop[at]
+            to = np.arange(len(at)) + np.cumsum(marked) - marked
+            rows = np.zeros(len(at) + marked.sum(), np.int64)
+            rows[to] = self._rows(data, begins[at], stop)
+            rows[to[marked] + 1] = self._rows(data, stop[marked], ends[at][marked])
+            ids, lens = self.ids.take(rows)
+            many = lens[to]
+            many[marked] += lens[to[marked] + 1]
+            self._append(ids, many, keys[at], checks[at])
+
     def _rows(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The row of each piece in ``ids``; new pieces are learned."""
         keys, checks = _piece_keys(data, starts, stops)
@@ -621,31 +703,9 @@ class _Library:
         if len(new):
             _, first = np.unique(keys[new], return_index=True)
             at = new[first]
-            flat = data.tobytes()
-            pieces = [flat[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
-            plain, derived, parts, many = [], [], [], []
-            for i, w in enumerate(pieces):
-                marked = w[-1] in _MARKS and w[-2:-1].isalnum()
-                base = w[:-1] if marked else w
-                if base.isalpha() and not base.islower():
-                    base = base.lower()
-                elif not marked:
-                    plain.append(i)
-                    continue
-                derived.append(i)
-                many.append(1 + marked)
-                parts.append(base)
-                if marked:
-                    parts.append(w[-1:])
-            if plain:
-                self._append(*self._encoded([pieces[i] for i in plain]), keys[at[plain]], checks[at[plain]])
-            if derived:
-                joined = np.frombuffer(b" ".join(parts), np.uint8)
-                begin, end, _ = word_spans(joined, np.array([0, len(joined)]), SPACE)
-                ids, lens = self.ids.take(self._rows(joined, begin, end))
-                self._append(ids, np.diff(np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(many)])]), keys[at[derived]], checks[at[derived]])
+            self._learn(data, starts[at], stops[at], keys[at], checks[at])
             rows[new] = self.numbers.find(keys[new])
-        for i in np.flatnonzero(self.checks[rows] != checks).tolist():  # another piece has the same hash
+        for i in np.flatnonzero(_take(self.checks, rows) != checks).tolist():  # another piece has the same hash
             ids, lens = self._encoded([data[starts[i] : stops[i]].tobytes()])
             rows[i] = self.ids.rows
             self.ids.extend(ids, lens)
@@ -672,7 +732,12 @@ class _Library:
 
 
 _BLANK = re.compile(r"[^\S ]")  # white space, as the vocabulary's pattern has it, that does not separate pieces
-_MARKS = frozenset(b".,;:!?")
+_DIGIT = np.array([chr(b).isdigit() and b < 0x80 for b in range(256)])
+_ASCII_LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
+_ASCII_UPPER = np.array([chr(b).isupper() and b < 0x80 for b in range(256)])
+# the second byte of U+00C0 to U+00FF: letters that are whole in normal form, but for two signs
+_LATIN_SECOND = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+_LATIN_UPPER = np.array([0x80 <= b <= 0x9E and b != 0x97 for b in range(256)])
 #: Text bytes whose pieces are looked up at once.
 PIECE_BYTES = 1 << 20
 _STEP = _U(int(seeds(1, 21)[0]) | 1)
@@ -688,6 +753,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
 
 
+def _latin(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the letters of ASCII and U+00C0 to U+00FF, and those that 0x20 lowers."""
+    letter, upper = _ASCII_LETTER.take(data), _ASCII_UPPER.take(data)
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    at = at[_LATIN_SECOND.take(data[at + 1])]
+    letter[at] = letter[at + 1] = True
+    upper[at + 1] = _LATIN_UPPER.take(data[at + 1])
+    return letter, upper
+
+
 def _piece_keys(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each piece, from differences of one running sum, and its length and first eight bytes."""
     n = len(data)
@@ -696,9 +771,9 @@ def _piece_keys(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tupl
     np.multiply(data, up[:n], out=sums[1:], dtype=_U)
     np.cumsum(sums, out=sums)
     lens = stops - starts
-    keys = mix64((sums.take(stops) - sums.take(starts)) * down.take(starts) + lens.astype(_U) * _BACK)
+    keys = mix64((_take(sums, stops) - _take(sums, starts)) * _take(down, starts) + lens.astype(_U) * _BACK)
     words = np.ndarray(n, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), 0, (1,))
-    head = words[starts] & _UPTO.take(np.minimum(lens, 8))
+    head = words[starts] & _take(_UPTO, np.minimum(lens, 8))
     return keys, head ^ (lens.astype(_U) * _STEP)
 
 

@@ -137,6 +137,36 @@ def test_library_cache_is_the_library():
     assert [flat[a:b].tolist() for a, b in zip(ends - n, ends, strict=True)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_library_cache_of_latin_words_and_marks():
+    """Marks are cut off and capitals lowered before words are learned, and ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    path, own = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    lib, whole = token_store._Library(path), []
+    ask = lib._whole
+    lib._whole = lambda texts: whole.extend(t for text in texts for t in text.split()) or ask(texts)
+    words = ["élan", "Élan", "ÉLAN***", "größe&&&.", "Größe,", "plain$$$", "Plain", "x9###", "don't", "don't***"]
+    assert [flat.tolist() for flat, _ in [lib.encode(pa.array([w])) for w in words]] == [ask([w])[0] for w in words]
+    assert set(whole) <= {"***", "&&&.", ",", "$$$", "###", "x9", "don't"}
+    signs = " abzAZéÉßöÖ×÷*&$%.,'\"-_|<>^`€日\u0301\u0308\u212b\u0958\u0130ªµ1²\x7f\x00"
+    texts = ["".join(own.choice(signs) for _ in range(own.randint(0, 40))) for _ in range(5000)]
+    texts += ["a<|endoftext|>***", "É<|startoftext|>", "A×**", "é'S", "O'RE!!", "it's'", "€***", "o\u0308***"]
+    flat, n = token_store._Library(path).encode(pa.array(texts))
+    ends = np.cumsum(n)
+    assert [flat[a:b].tolist() for a, b in zip(ends - n, ends, strict=True)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_range_coder_damaged_anywhere():
+    """Damage is an error of the checksum, wherever it leads the decoder."""
+    r = np.random.default_rng(3)
+    start, code = token_store.encode_blocks(r.zipf(1.3, 2048) % 5000)
+    for _ in range(100):
+        bad = bytearray(code[0][0])
+        bad[r.integers(len(bad))] ^= 1 << r.integers(8)
+        with pytest.raises(ValueError, match="checksum"):
+            token_store.decode_blocks(start, [bytes(bad), code[1][0]], [c[1] for c in code], [c[2] for c in code])
+
+
 def test_token_files(docs, spark):
     from tokenizers import Tokenizer
 
